@@ -2,11 +2,4 @@
 
 from __future__ import annotations
 
-_SQL = {
-    "sc1_scope_scan": "SELECT * FROM target_scope ORDER BY id",
-}
-
-
-def sql() -> dict[str, str]:
-    """SQL by query name."""
-    return dict(_SQL)
+from corvane.plans.queries import sql  # noqa: F401
