@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import flat_map
 from corvane.llm.gear import mix
 
-#: Characters of a q-gram, least words of a leak, share of characters that may be edited.
-Q, MIN_WORDS, EDIT_RATE = 20, 15, 0.03
+#: Characters of a q-gram, least words of a leak, edits for each character of the shortest leak.
+Q, MIN_WORDS, EDIT_RATE = 20, 15, 0.015
 #: Items of a block, and characters of an item's text above which it counts as more than one.
 BLOCK_ITEMS, BLOCK_CHARS = 2000, 2000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -61,10 +61,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str, bytes]], min_words: int, edit_rate: float):
         self.items, self.min_words = items, min_words
-        least = 2 * min_words - 1
         self.bands = max(2, int(edit_rate * 8 * min_words) + 1)
-        self.edits = int(edit_rate * least)
-        self.least = max(1, least - Q + 1 - self.edits * Q)
+        self.least = [self.bound(data, edit_rate) for _, _, data in items]
         hashes, which, at = [], [], []
         for k, (_, _, data) in enumerate(items):
             if data.count(b" ") + 1 >= min_words:
@@ -81,6 +79,14 @@ class Index:
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
+    def bound(self, data: bytes, edit_rate: float) -> int:
+        """q-grams that a leak of the least words of this item keeps within its budget of edits."""
+        sizes = np.array([len(w) + 1 for w in data.split()])
+        if len(sizes) < self.min_words:
+            return 1 << 30
+        least = int(np.convolve(sizes, np.ones(self.min_words, int), "valid").min()) - 1
+        return max(1, least - Q + 1 - int(edit_rate * least) * Q)
+
     def candidates(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(item, low diagonal, first and last place in ``data``) of bands that reach the bound."""
         h = grams(data)
@@ -103,7 +109,8 @@ class Index:
             k, p = key[order], place[order]
             cut = np.flatnonzero(np.diff(k)) + 1
             for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))):
-                if b - a >= self.least and len(np.unique(p[a:b])) >= self.least:
+                least = self.least[k[a] >> 40]
+                if b - a >= least and len(np.unique(p[a:b])) >= least:
                     yield int(k[a] >> 40), int((k[a] & ((1 << 40) - 1)) - (1 << 38)) * self.bands - shift, int(p[a]), int(p[b - 1]) + Q
 
 

