@@ -185,7 +185,7 @@ def judge(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     scored = None
     if part.select("label").distinct().count() == 2:
         first = _score(forest.fit(part), part, "p")
-        clean = first.filter("label = 1 and p >= 0.25 or label = 0 and p < 0.25").drop("p")
+        clean = first.filter("label = 1 and p >= 0.5 or label = 0 and p < 0.25").drop("p")
         if clean.select("label").distinct().count() == 2:
             scored = _score(forest.fit(clean), vectors, "score").select("id", "score")
     if scored is None:

@@ -1,0 +1,143 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import generated, history, mix
+
+
+def _files(spark):
+    hand = "import x\n\n# Adds two numbers that are given.\ndef add(first, second):\n    total = first + second\n    return total\n"
+    packed = "!function(a){var b=a||{};for(var c=0;c<9;c++)b[c]=c;b.x=!0}(this);" * 30
+    rng = random.Random(5)
+    like = lambda: hand.replace("total", f"total{rng.randint(0, 99)}")
+    files, chunks = [], []
+
+    def put(k, path, text, repo="me/app", language="python", ctx=None):
+        files.append((k, f"https://h.example/{repo}/blob/abc/{path}" if path else None, repo, language))
+        for piece in text if isinstance(text, list) else [text]:
+            chunks.append((k, piece, ctx or f'{{"repo":"{repo}","path":"{path}"}}'))
+
+    for k in range(60):
+        put(k, f"src/f{k}.py", hand.replace("total", f"total{rng.randint(0, 99)}") * rng.randint(1, 4))
+    for k in range(60, 80):
+        put(k, f"web/a{k}.min.js" if k < 75 else f"web/a{k}.js", packed[: rng.randint(600, 1900)], language="javascript")
+    put(100, "src/g.py", "# Code generated by tool. DO NOT EDIT.\n" + like())
+    put(101, "third_party/x/y.py", like())
+    put(102, "src/h.py", '# Writes the "do not edit" banner for files that the tool generates.\n' + like())
+    put(103, "src/vendors/vendor_list.py", like())
+    put(104, "src/i.py", like(), ctx='{"repo":"other/lib","path":"src/i.py"}')
+    put(105, "conf/x.yaml", "# generated by tool\na: 1\n", language="yaml")
+    put(106, None, [None, ""], ctx="{cut")
+    put(107, "src/data.py", "ROWS = [\n" + "".join(f"    [{k}, 1.5, \"x\"],\n" for k in range(40)) + "]\n")
+    files.append((108, None, None, None))
+    return spark.createDataFrame([(*f, 1) for f in files], "id long, source_url string, repo string, language string, score int"), spark.createDataFrame(chunks, "artifact_id long, text string, context_json string")
+
+
+def test_written_by_hand_or_not(spark):
+    files, chunks = _files(spark)
+    rows = {r.id: r for r in generated.judge(generated.features(files.drop("score"), chunks)).collect()}
+    assert len(rows) == files.count()
+    assert {k for k, r in rows.items() if r.found} == {*range(60, 80), 100, 101, 104, 107}
+    assert all(rows[k].score > 0.5 and not rows[k].notice for k in range(75, 80))
+    assert generated.judge(generated.features(files.limit(0), chunks.limit(0))).count() == 0
+
+
+def test_paths_and_heads():
+    assert generated.path_of("https://h/r/blob/ab/a\\b.py?x=1", None) == "a/b.py" and generated.path_of(None, "c") == "c" and generated.path_of(None, None) == ""
+    assert [generated.path_notice(p) for p in ("a/__generated__/x.go", "lib/x_1a.pb.go", "web/y_2b-min.js", "src/generator/z.py", "lib/distance/a.py", "m_3c_pb2.py", "")] == [True, True, True, False, False, True, False]
+
+
+def _records():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(10, 90))] for _ in range(60)]
+    old = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None), (901, "")]
+    new = []
+    for k in range(80):
+        t = list(rng.choice(texts))
+        kind = k % 4
+        if kind == 1:
+            for _ in range(max(1, len(t) // 12)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+        elif kind == 2:
+            t = [rng.choice(words) for _ in range(40)]
+        elif kind == 3 and len(t) > 6:
+            del t[rng.randrange(len(t))]
+        new.append((1000 + k, k, " ".join(t).upper() if kind == 0 else ", ".join(t)))
+    new += [(2000, 500, None), (2001, 501, ""), (2002, 502, new[2][2]), (2003, 502, "one two")]
+    return old, new
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    old, new = _records()
+    o = spark.createDataFrame(old, "id long, text string")
+    n = spark.createDataFrame([(*r, 0) for r in new], "arrival_id long, seq long, text string, own int")
+    want = set()
+    for k, s, t in new:
+        x = history.words(t)
+        for k2, s2, t2 in [(a, -1, b) for a, b in old] + new:
+            y = history.words(t2)
+            if s2 < s and min(len(x), len(y)) >= 15 and history.in_order(x, y) >= 0.8 * max(len(x), len(y)):
+                want.add(k)
+    for hot in (1, 32):
+        store = history.History(spark)
+        store.append(history.hash_rows(o, "id", "text"))
+        store.append(history.hash_rows(n, "arrival_id", "text", "seq"))
+        whole = history.copies(store)
+        near = history.compare(history.candidates(store, whole, hot), n, "arrival_id", "text", o, "id", "text")
+        got = {r.own for r in whole.collect()} | {r.own for r in near.collect()}
+        assert got == want
+        store.drop()
+
+
+def test_words_in_order():
+    rng = random.Random(8)
+
+    def slow(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = 0
+            for j, b in enumerate(y):
+                row[j + 1], last = (last + 1 if a == b else max(row[j + 1], row[j])), row[j + 1]
+        return row[-1]
+
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert history.in_order(x, y) == slow(x, y)
+    assert history.words("A_b-ç9") == ["a", "b", "ç9"] and history.words(None) == []
+
+
+def test_repeats_by_key(spark):
+    old = spark.createDataFrame([("pr", "a", "h"), ("pr", "b", None)], "kind string, external_id string, content_hash string")
+    new = spark.createDataFrame([(1, "pr", "a", "h"), (2, "pr", "b", None), (3, "pr", "c", "x"), (4, "pr", "c", "x"), (5, None, "c", "x"), (6, "pr", "a", "other")], "arrival_id long, kind string, external_id string, content_hash string")
+    assert {r.own for r in history.by_key(new, "arrival_id", "arrival_id", old, ["kind", "external_id", "content_hash"]).collect()} == {1, 4}
+
+
+def test_mix_meets_its_shares(spark):
+    rng = random.Random(9)
+    words = {s: [f"{s}{k}" for k in range(60)] for s in ("file", "note", "pr")}
+    docs = []
+    for k in range(900):
+        s = rng.choice(["file"] * 6 + ["note"] * 2 + ["pr"])
+        docs.append((k, " ".join(rng.choice(words[s]) for _ in range(rng.randint(5, 40))), rng.choice([s, s.upper(), f" {s}\n"])))
+    docs += [(2000 + k, " ".join(rng.choice(words["note"]) for _ in range(20)), None if k % 2 else "other") for k in range(40)] + [(3000, None, "file"), (3001, "", "pr"), (3002, "  ", "note")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    shares = spark.createDataFrame([("file", 0.5, 1), ("note", 0.3, 3), ("pr", 0.1, 4), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    taken, report = mix.mix(d, shares.filter("source <> 'absent'"))
+    rows = {r.source: r for r in report.collect()}
+    goal = {"file": 0.5 / 0.9, "note": 0.3 / 0.9, "pr": 0.1 / 0.9}
+    assert all(abs(rows[s].actual_share - g) < 0.004 for s, g in goal.items())
+    copies = taken.collect()
+    assert all(1 <= r.copies <= {"file": 1, "note": 3, "pr": 4}[r.source] for r in copies) and not {r.doc_id for r in copies} & {3000, 3001, *range(2000, 2040)}
+    assert {r.source: r.actual_share for r in mix.mix(d, shares)[1].collect()}["absent"] == 0
+    soft = mix.mix(d, shares.filter("source <> 'absent'"), soft=True)[0].filter("source is null")
+    assert soft.count() > 0 and soft.agg(F.max("copies")).first()[0] <= 3
+    empty, none = mix.mix(d.limit(0), shares)
+    assert empty.count() == 0 and none.count() == 4
+
+
+def test_posteriors_tell_domains(spark):
+    rows = [(k, "alpha beta gamma" if k % 2 else "delta eps zeta", ["a", "b"][k % 2]) for k in range(60)] + [(100, "beta alpha", None), (101, "zeta", None), (102, None, None)]
+    p = {r.doc_id: r.p for r in mix.memberships(spark.createDataFrame(rows, "doc_id long, text string, domain string"), ["a", "b"]).collect()}
+    assert p[100][1] > 0.9 and p[101][0] > 0.9 and sum(p[102]) == pytest.approx(1)
