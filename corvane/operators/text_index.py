@@ -91,12 +91,15 @@ def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
-def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, n_texts: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, chunk_id, score and rank of the texts that fit each query, the best k of each (all if
     None); less is better, ties by chunk_id. Every phrase of a query that stands in a text counts.
-    ``candidates`` (chunk_id) filters hits and changes no score."""
+    ``candidates`` (chunk_id) filters hits and changes no score. ``n_texts`` is one row with the number
+    of texts of the index, those without terms included; by default texts with terms are counted."""
     sizes = lengths(posts)
-    total = sizes.agg(F.count("*").alias("_docs"), F.avg("len").alias("_avg"))
+    counted = n_texts.toDF("_docs") if n_texts is not None else sizes.agg(F.count("*").alias("_docs"))
+    # Both are one row.
+    total = sizes.agg(F.sum("len").alias("_sum")).crossJoin(F.broadcast(counted)).select("_docs", (F.col("_sum") / F.col("_docs")).alias("_avg"))
     hits = phrase_hits(posts, phrases)
     spread = hits.groupBy("phrase").agg(F.count("*").alias("_df"))
     asked = phrases.select("query_id", "grp", "phrase").distinct().join(spread, "phrase", "left").fillna(0, ["_df"])

@@ -37,6 +37,9 @@ class Corpus:
     def postings(self) -> DataFrame:
         return self.posts if self.posts is not None else text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)
 
+    def n_texts(self) -> DataFrame:
+        return self.chunks.filter("text is not null").agg(F.count("*"))
+
     def keys(self) -> DataFrame:
         return fusion.hit_keys(self.chunks, self.artifacts)
 
@@ -69,7 +72,7 @@ def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int
     groups = text_index.expanded_queries(queries, expander) if expander else text_index.plain_queries(queries)
     phrases = text_index.phrases_of(groups, corpus.stem, corpus.ascii_only)
     candidates = candidate_ids(corpus.chunks, corpus.artifacts, filters)
-    hits = text_index.bm25(corpus.postings(), phrases, candidates, None if coalesce else k)
+    hits = text_index.bm25(corpus.postings(), phrases, candidates, None if coalesce else k, corpus.n_texts())
     return fusion.one_of_copies(hits, corpus.keys(), k) if coalesce else hits
 
 

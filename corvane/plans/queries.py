@@ -57,7 +57,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 # Parts of the SQL.
 _KEYS = "keys AS (SELECT n.chunk_id, n.chunk_idx, a.kind AS akind, a.external_id, a.created_at FROM (SELECT id AS chunk_id, artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY id) AS chunk_idx FROM chunk) n JOIN artifact a ON a.id = n.artifact_id)"
-_TOK = "tok AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM chunk WHERE text IS NOT NULL), tf AS (SELECT chunk_id, term, count(*) AS f FROM tok GROUP BY ALL), dl AS (SELECT chunk_id, count(*) AS len FROM tok GROUP BY ALL), st AS (SELECT count(*) AS docs, avg(len) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)"
+_TOK = "tok AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM chunk WHERE text IS NOT NULL), tf AS (SELECT chunk_id, term, count(*) AS f FROM tok GROUP BY ALL), dl AS (SELECT chunk_id, count(*) AS len FROM tok GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM chunk WHERE text IS NOT NULL) AS docs, sum(len)::DOUBLE / (SELECT count(*) FROM chunk WHERE text IS NOT NULL) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)"
 _ASKED = "asked AS (SELECT c.id AS query_id, list_slice(regexp_extract_all(lower(c.text), '[a-z0-9_]+'), 1, 3) AS terms, CAST(e.embedding AS DOUBLE[]) AS qv FROM chunk c JOIN embeddings e ON e.vec_id = c.id WHERE c.id % 100 = 0)"
 #: Words count once for each place in a query; a word that stands twice is a group twice.
 _BM25 = "qt AS (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS grp FROM asked), need AS (SELECT query_id, count(*) AS n FROM qt GROUP BY ALL), sc AS (SELECT qt.query_id, tf.chunk_id, -sum((CASE WHEN ln((st.docs - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((st.docs - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) END) * tf.f * 2.2::DOUBLE / (tf.f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.len / st.avgdl))) AS score, count(*) AS met FROM qt JOIN tf ON tf.term = qt.term JOIN dl ON dl.chunk_id = tf.chunk_id JOIN dfs d ON d.term = qt.term CROSS JOIN st GROUP BY qt.query_id, tf.chunk_id), bm AS (SELECT sc.* FROM sc JOIN need USING (query_id) WHERE met = n)"
@@ -260,7 +260,7 @@ def rt2_filter_last(spark: SparkSession, d: str) -> DataFrame:
 def rt4_bm25(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
     phrases = text_index.phrases_of(text_index.plain_queries(_asked(spark, d)), ascii_only=True)
-    hits = text_index.bm25(corpus.postings(), phrases, None, 10)
+    hits = text_index.bm25(corpus.postings(), phrases, None, 10, corpus.n_texts())
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
