@@ -115,10 +115,12 @@ def _context(text: str, begin: int, end: int) -> tuple[str, str, str]:
 
 def names(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
     """Candidates for names: (begin, end, given, family, seed). Every stretch of two to four words
-    of a run of capitalised words is one; a seed stands beside an address that is made of it."""
+    of a run of capitalised words is one; a seed stands beside an address that is made of it, and what
+    overlaps it is none."""
     for run in _RUN.finditer(text):
         parts = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\s,]+", text[run.start() : run.end()])]
         comma = {e for _, e, _ in parts if text[run.start() + e : run.start() + e + 1] == ","}
+        found = []
         full = [k for k, (_, _, w) in enumerate(parts) if len(w.rstrip(".")) > 1 and not re.fullmatch(_PART, w) and not _TITLE.match(w)]
         for i, k in enumerate(full):
             for last in full[i + 1 : i + 4]:
@@ -134,7 +136,9 @@ def names(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
                 near = text[end : end + 80]
                 m = re.match(r"\s*[<(\[;,]?\s*(?:mail=|mailto:)?([\w.+-]+)@", near)
                 seed = bool(m and family and (local := fold(re.sub(r"\d+$|\+.*", "", m[1]))) and (given in local and (family in local or fold(words[-1][2]) in local)))
-                yield begin, end, given, family, seed
+                found.append((begin, end, given, family, seed))
+        sure = [x for x in found if x[4]]
+        yield from sure or found
 
 
 def numbers(text: str) -> Iterator[tuple[int, int, bool]]:
