@@ -111,7 +111,7 @@ def mix(docs: DataFrame, shares: DataFrame, path: str | None = None, total: floa
     names = [r["s"] for r in listed]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source_name(F.col("source")).alias("_s"))
     base = base.withColumn("domain", F.when(F.col("_s").isin(names), F.col("_s")))
-    sized = durable(count_tokens(base, "doc_id", "text", path).join(base.select("doc_id", "domain"), "doc_id").withColumnRenamed("n_tokens", "n"), "sizes")
+    sized = durable(count_tokens(base, "doc_id", "text", path, ("domain",)).withColumnRenamed("n_tokens", "n"), "sizes")
     one = F.transform(F.array(*map(F.lit, names)), lambda s: F.when(F.col("domain") == s, 1.0).otherwise(0.0))
     rows = sized.filter("domain is not null").withColumn("p", one)
     if soft:
@@ -126,7 +126,8 @@ def mix(docs: DataFrame, shares: DataFrame, path: str | None = None, total: floa
     of = lambda xs: F.aggregate(F.zip_with("p", F.array(*map(F.lit, xs)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     rate = F.least(F.greatest(of(m), F.lit(0.0)), of(caps))
     rated = rows.withColumn("r", rate).withColumn("_whole", F.floor("r")).withColumn("_part", F.col("r") - F.col("_whole"))
-    own = [float(r["n"] or 0) for name in names for r in sized.filter(F.col("domain") == name).agg(F.sum("n").alias("n")).collect()]
+    held = {r["domain"]: float(r["n"] or 0) for r in sized.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    own = [held.get(name, 0.0) for name in names]
     cut = _threshold(sized.filter("domain is not null"), [(s, (min(x, c) % 1.0) * n) for s, x, n, c in zip(names, m, own, caps)])
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(BINS * BINS)) / (BINS * BINS)
     limit = F.coalesce(*(F.when(F.col("domain") == s, F.lit(cut.get(s, 0.0))) for s in names), F.col("_part"))

@@ -44,12 +44,12 @@ def _lists(values: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, offsets: bool = False) -> DataFrame:
-    """One row for each row of ``df``: ``id_col`` and ``ids``, with ``offsets`` also ``starts`` and
-    ``ends`` of each id in characters. No shuffle: rows stay where they were read."""
+def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``df``: ``id_col``, the columns ``keep`` and ``ids``, with ``offsets``
+    also ``starts`` and ``ends`` of each id in characters. No shuffle: rows stay where they were read."""
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
     arrow_rows(df.sparkSession, 1000)
-    kind = df.schema[id_col].dataType.simpleString()
+    held = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -58,14 +58,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 found = call([x or "" for x in part.column(1).to_pylist()], add_special_tokens=False)
-                columns, names = [part.column(0), _lists([e.ids for e in found])], [id_col, "ids"]
+                columns = [part.column(0), *part.columns[2:], _lists([e.ids for e in found])]
+                names = [id_col, *keep, "ids"]
                 if offsets:
                     columns += [_lists([[o[k] for o in e.offsets] for e in found]) for k in (0, 1)]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", starts array<int>, ends array<int>" if offsets else ""
-    return df.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>{more}")
+    return df.select(id_col, F.col(text_col), *keep).mapInArrow(run, f"{held}, ids array<int>{more}")
 
 
 @lru_cache(maxsize=4)
@@ -105,6 +106,6 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str | None = None) ->
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
-    """``id_col`` and ``n_tokens`` of each row."""
-    return encode(df, id_col, text_col, path).select(id_col, F.size("ids").alias("n_tokens"))
+def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``keep`` and ``n_tokens`` of each row."""
+    return encode(df, id_col, text_col, path, keep=keep).select(id_col, *keep, F.size("ids").alias("n_tokens"))
