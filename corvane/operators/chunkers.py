@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from corvane.functions.languages import of_name
 from corvane.functions.scalars import is_blank, strip
+from corvane.operators.syntax import brace_nodes
 from corvane.schema import AST_MAX, BODY_MAX, DOC_MAX, LEAST, MESSAGE_MIN, NOTE_MAX, OVERLAP, WINDOW
 
 
@@ -146,6 +148,24 @@ def syntax_nodes(text: str | None) -> list[tuple[int, int, str, str, str | None]
     return out
 
 
+def nodes_of(text: str | None, language: str | None) -> list[tuple[int, int, str, str, str | None]] | None:
+    """Nodes of source in a language that can be read, else None."""
+    if language == "python":
+        return syntax_nodes(text)
+    found = brace_nodes(text, language)
+    return None if found is None else [(a, b, kind, symbol, leading_doc(doc)) for a, b, kind, symbol, doc in found]
+
+
+def file_sections(diff: str | None) -> list[tuple[str | None, str]]:
+    """(path, text) of the sections of a diff, one for each file."""
+    out = []
+    for part in re.split(r"(?m)^(?=diff --git )", diff or ""):
+        if part.startswith("diff --git "):
+            found = re.search(r" b/(.+)$", part.split("\n", 1)[0])
+            out.append((found[1] if found else None, part))
+    return out
+
+
 _NODE = "id long, start_line int, end_line int, node_kind string, symbol_name string, leading_doc string, text string"
 
 
@@ -160,14 +180,14 @@ def window_rows(lines: list[str], size: int = WINDOW, overlap: int = OVERLAP, le
 
 
 def file_chunks(df: DataFrame, id_col: str, text_col: str, language: Column) -> DataFrame:
-    """Chunks of files: nodes of Python source; of other files, and of source without nodes or that
-    can't be read, windows of lines."""
+    """Chunks of files: nodes of source in Python and in languages with braces; of other files, and of
+    source without nodes or that can't be read, windows of lines."""
 
     def rows(key: int, text: str | None, lang: str | None) -> Iterator[tuple]:
         if not text or not text.strip():
             return
         lines = re.sub(r"\n\Z", "", text).split("\n")
-        nodes = syntax_nodes(text) if lang == "python" else None
+        nodes = nodes_of(text, lang)
         for first, last, kind, symbol, doc in nodes or ():
             yield key, first, last, kind, symbol, doc, "\n".join(lines[first - 1 : last])
         if not nodes:
@@ -178,11 +198,11 @@ def file_chunks(df: DataFrame, id_col: str, text_col: str, language: Column) ->
 
 
 def diff_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Chunks of diffs: of Python hunks the deepest node that has added lines which say something,
+    """Chunks of diffs: of hunks of source the deepest node that has added lines which say something,
     each node once; of other hunks, and where no node claims a line, blocks of added lines."""
 
-    def claimed(after: str, start: int, added: list[int]) -> list[tuple]:
-        nodes = syntax_nodes(after) or []
+    def claimed(after: str, start: int, added: list[int], language: str | None) -> list[tuple]:
+        nodes = nodes_of(after, language) or []
         lines = after.split("\n")
         wanted = [n - start + 1 for n in added if lines[n - start].strip() not in ("", "pass", "}", "{", ")", "(")]
         kept = {}
@@ -198,7 +218,7 @@ def diff_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if not added:
                 continue
             lines = after.split("\n")
-            nodes = claimed(after, begin, added) if path.endswith(".py") else []
+            nodes = claimed(after, begin, added, of_name(path.rpartition("/")[2]))
             for first, last, kind, symbol, doc in nodes:
                 yield key, path, begin + first - 1, begin + last - 1, kind, symbol, doc, "\n".join(lines[first - 1 : last])
             if not nodes:

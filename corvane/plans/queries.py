@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import expand, scalars
-from corvane.operators import chunkers, cluster, embed, evaluate, filters, fusion, rollups, rules, state, text_index, tools, vector
+from corvane.functions import expand, languages, scalars
+from corvane.operators import chunkers, cluster, embed, evaluate, filters, fusion, lookup, models, rollups, rules, state, text_index, tools, vault, vector
 from corvane.schema import ARTIFACT_KINDS, DECISIONS, SUMMARIZABLE
 from corvane.sources.tables import table
 from corvane.streaming import sync
@@ -723,6 +723,90 @@ def st3_next_cursor(spark: SparkSession, d: str) -> DataFrame:
 # Clusters, rules, evaluation
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.lit("all").alias("scope"), F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("chunk_id"))
+
+
+@query(
+    "WITH m AS (SELECT e.label, c.id, c.language, a.repo FROM embeddings e JOIN chunk c ON c.id = e.vec_id LEFT JOIN artifact a ON a.id = c.artifact_id), l AS (SELECT label, language, count(*) AS n, min(id) AS f FROM m WHERE language IS NOT NULL GROUP BY ALL), t AS (SELECT label, language, n, sum(n) OVER (PARTITION BY label) AS al FROM l QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, f) = 1)"
+    " SELECT m.label AS cluster_id, 'rule-' || left(sha1(array_to_string(list_sort(list(m.id)), ',')), 16) AS external_id, count(*) AS cluster_size, any_value(CASE WHEN t.n >= 0.6::DOUBLE * t.al THEN t.language END) AS language, array_to_string(list_sort(list(DISTINCT m.repo) FILTER (m.repo IS NOT NULL)), ',') AS repos FROM m LEFT JOIN t ON t.label = m.label GROUP BY m.label"
+)
+def ag11_cluster_facts(spark: SparkSession, d: str) -> DataFrame:
+    facts = cluster.cluster_facts(_labelled(spark, d), table(spark, d, "chunk"), table(spark, d, "artifact"))
+    return facts.select("cluster_id", "external_id", "cluster_size", "language", F.array_join("member_repos", ",").alias("repos"))
+
+
+@query("SELECT count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS most FROM (SELECT greatest(0, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
+def ag17_mean_distance(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("w")), "a")
+    return pairs.select(vector.cosine(F.col("v"), F.col("w")).alias("d")).agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("most"))
+
+
+@query("WITH x AS (SELECT id % 7 AS tool, decision = 'approved' AS passed FROM artifact WHERE decision IS NOT NULL) SELECT tool, count(*) FILTER (passed) AS passed, count(*) AS total FROM x GROUP BY tool")
+def ag15_rates_by_tool(spark: SparkSession, d: str) -> DataFrame:
+    rows = _outcomes(spark, d).withColumn("tool", F.col("id") % 7)
+    return evaluate.pass_rates(rows, "tool").filter("tool is not null")
+
+
+@query(f"WITH {_REVIEWS}, x AS (SELECT artifact_id, json_extract_string(r, '$.login') AS login, lower(json_extract_string(r, '$.state')) AS state, coalesce(json_extract_string(r, '$.submitted_at'), '') AS t FROM rv), o AS (SELECT login FROM x WHERE login IS NOT NULL GROUP BY login ORDER BY count(*) DESC, login LIMIT 1), z AS (SELECT x.artifact_id, x.state FROM x JOIN o USING (login) QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY t DESC, json_extract_string('\"' || upper(state) || '\"', '$') DESC) = 1) SELECT artifact_id, state AS decision FROM z WHERE state IN ('approved','changes_requested','commented')")
+def wn5_reviewer_decision(spark: SparkSession, d: str) -> DataFrame:
+    artifacts = table(spark, d, "artifact").filter("kind = 'pr'")
+    schema = "struct<reviewer_decisions:array<struct<login:string,state:string,submitted_at:string>>>"
+    said = artifacts.select(F.explode(F.from_json("meta_json", schema)["reviewer_decisions"]["login"]).alias("login")).filter("login is not null")
+    login = rollups.top_groups(said, F.col("login"), "login", 1).first()
+    decision = tools.reviewer_decision(F.col("meta_json"), login["login"] if login else "")
+    return artifacts.select(F.col("id").alias("artifact_id"), decision.alias("decision")).filter("decision is not null")
+
+
+@query("SELECT id FROM chunk WHERE (json_valid(context_json) AND contains(json_extract_string(context_json, '$.path'), '.py')) OR contains(lower(text), 'cursor') OR symbol_name = 'x'")
+def pf15_expectation(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunk").withColumn("path", F.get_json_object("context_json", "$.path"))
+    return rows.filter(filters.expectation([{"path_substr": ".py"}, {"text_substr": "Cursor"}, {"symbol_name": "x"}])).select("id")
+
+
+@query("SELECT id, coalesce(node_kind, CASE WHEN json_valid(context_json) THEN json_extract_string(context_json, '$.node_kind') END) AS node_kind, coalesce(symbol_name, CASE WHEN json_valid(context_json) THEN json_extract_string(context_json, '$.symbol_name') END) AS symbol_name FROM chunk")
+def up7_promoted(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.promoted(table(spark, d, "chunk")).select("id", "node_kind", "symbol_name")
+
+
+@query("SELECT r.target_id, r.full_name, coalesce(n.at, r.pushed_at) AS pushed_at FROM repo r LEFT JOIN (SELECT repo, max(created_at) AS at FROM artifact GROUP BY 1) n ON n.repo = r.full_name")
+def jn12_enriched_repos(spark: SparkSession, d: str) -> DataFrame:
+    pushed = table(spark, d, "artifact").select(F.col("repo").alias("full_name"), F.col("created_at").alias("pushed_at"))
+    return lookup.with_pushed(table(spark, d, "repo"), pushed).select("target_id", "full_name", "pushed_at")
+
+
+@query("SELECT id, CASE WHEN json_valid(context_json) THEN CAST(json_extract_string(context_json, '$.start_line') AS INT) END AS start_line, CASE WHEN json_valid(context_json) THEN json_extract_string(context_json, '$.path') END AS path FROM chunk WHERE kind = 'file'")
+def sf1_context_fields(spark: SparkSession, d: str) -> DataFrame:
+    get = lambda k: F.get_json_object("context_json", f"$.{k}")
+    return table(spark, d, "chunk").filter("kind = 'file'").select("id", get("start_line").cast("int").alias("start_line"), get("path").alias("path"))
+
+
+@query("SELECT id, CASE WHEN json_valid(c.context_json) THEN json_extract_string(c.context_json, '$.path') END AS path, regexp_extract(json_extract_string(c.context_json, '$.path'), '[.]([a-z]+)$', 1) AS ending FROM chunk c WHERE json_valid(c.context_json) AND regexp_matches(json_extract_string(c.context_json, '$.path'), '[.](py|go|rs|ts|js)$')")
+def sf22_code_paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.get_json_object("context_json", "$.path")
+    names = {"python": "py", "go": "go", "rust": "rs", "typescript": "ts", "javascript": "js"}
+    rows = table(spark, d, "chunk").select("id", path.alias("path")).filter("path is not null").withColumn("language", languages.language_of_path(F.col("path")))
+    ending = F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("language"))
+    return rows.select("id", "path", ending.alias("ending")).filter("ending is not null")
+
+
+@query()
+def sk1_rule_pages(spark: SparkSession, d: str) -> DataFrame:
+    return vault.rule_pages(rules.list_rules(table(spark, d, "chunk"), table(spark, d, "artifact"), limit=None))
+
+
+@query()
+def sk1_file_pages(spark: SparkSession, d: str) -> DataFrame:
+    return vault.file_pages(table(spark, d, "chunk"), table(spark, d, "artifact"))
+
+
+@query()
+def cl3_comment_clusters(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _corpus(spark, d)
+    return models.cluster_review_comments(corpus.chunks, corpus.artifacts, corpus.vectors)
+
+
 @query()
 def cl2_clusters(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings").select(F.lit("all").alias("scope"), F.col("vec_id").alias("chunk_id"), "embedding")
