@@ -49,7 +49,7 @@ _FOLDER = re.compile(
     r"(?:^|/)(?:vendor|third[_-]?party|3rd-?party|node_modules|bower_components|godeps|external|externals|extern|deps|submodules|subprojects|pods|carthage|site-packages|vendored|contrib/upstream-[^/]+|upstream-[^/]+|__generated__|generated|zz_generated|gen|codegen|autogen|generated-sources|generated/sources)/",
     re.I,
 )
-_NAME = re.compile(r"(?:[._-](?:min|bundle|chunk|pack|prod)\.(?:js|mjs|cjs|css|ts)|\.(?:pb|g|gen|generated|auto|designer)\.\w+|\.pb\.(?:go|cc|h)|_pb2(?:_grpc)?\.pyi?|[_-](?:generated|gen|autogen)\.\w+|\.d\.ts|^zz_generated[\w.]*)$", re.I)
+_NAME = re.compile(r"(?:[._-](?:min|bundle|chunk|pack|prod)\.(?:js|mjs|cjs|css|ts)|\.(?:pb|g|gen|generated|auto|designer)\.\w+|\.pb\.(?:go|cc|h)|_pb2(?:_grpc)?\.pyi?|[_-](?:generated|gen|autogen|bindings)\.\w+|\.d\.ts|^zz_generated[\w.]*)$", re.I)
 _IDENT = re.compile(r"[^\W\d]\w*")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d+(?:\.\d+)?|[^\s\w]")
 _LITERAL = re.compile(r"^\s*(?:[\[({]?\s*(?:[-+]?\d[\d._eExXa-fA-F]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|null|true|false)\s*[,;:)\]}+]*\s*)+$|^\s*[\[\](){},;]+\s*$|^[A-Za-z0-9+/=]{40,}$")
