@@ -70,8 +70,9 @@ def word_tokens(text: Column) -> Column:
 
 
 def age_days(then: Column, now: Column) -> Column:
-    """Days between two instants, at least 0."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(8.64e10))
+    """Days between two instants, at least 0; null if one isn't known."""
+    days = (F.unix_micros(now) - F.unix_micros(then)) / F.lit(8.64e10)
+    return F.when(days < 0, 0.0).otherwise(days)
 
 
 def noreply_login(email: Column) -> Column:
@@ -108,10 +109,8 @@ def decision_of(text: Column) -> Column:
 def clean_summary(text: Column) -> Column:
     """The first line that isn't blank, without leaders and quotes, at most 320 signs at a word."""
     line = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda x: x != ""), F.lit(0)), F.lit(""))
-    for leader in ("- ", "* ", "• ", "1. ", "Description: ", "Summary: "):
-        line = F.when(F.startswith(line, F.lit(leader)), F.substring(line, len(leader) + 1, 2**30)).otherwise(line)
-    first, last = F.substring(line, 1, 1), F.substring(line, -1, 1)
-    line = F.when((F.char_length(line) >= 2) & (first == last) & first.isin('"', "'", "`"), line.substr(F.lit(2), F.char_length(line) - 2)).otherwise(line)
+    line = F.regexp_replace(line, r"^(?:- )?(?:\* )?(?:• )?(?:1\. )?(?:Description: )?(?:Summary: )?", "")
+    line = F.regexp_replace(line, r"(?s)^([\"'`])(.*)\1$", "$2")
     cut = F.regexp_replace(F.substring(line, 1, 320), r" [^ ]*$", "")
     return strip(F.when(F.char_length(line) > 320, F.concat(cut, F.lit("…"))).otherwise(line))
 

@@ -15,6 +15,7 @@ from corvane.functions.expand import QueryExpander
 from corvane.functions.scalars import is_blank, truncated
 from corvane.operators import fusion, text_index, vector
 from corvane.operators.filters import Filters, candidate_ids, matches_glob
+from corvane.runtime import durable
 from corvane.schema import DECISIONS, FETCH, OVER_GLOB, TOP, TOP_VOTE
 
 
@@ -35,7 +36,10 @@ class Corpus:
     stem: bool = False
 
     def postings(self) -> DataFrame:
-        return self.posts if self.posts is not None else text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)
+        """The keyword index: made once for a corpus and written, since a search reads it several times."""
+        if self.posts is None:
+            self.posts = durable(text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only), "postings")
+        return self.posts
 
     def n_texts(self) -> DataFrame:
         return self.chunks.filter("text is not null").agg(F.count("*"))

@@ -720,6 +720,84 @@ def st3_next_cursor(spark: SparkSession, d: str) -> DataFrame:
     return sync.next_cursor(table(spark, d, "events"), "ts")
 
 
+# More scalars and changes
+
+
+@query("SELECT id, len(list_distinct(list_transform(CAST(json_extract(emails_json, '$') AS VARCHAR[]), lambda x: lower(x)))) AS n FROM target_scope WHERE emails_json IS NOT NULL")
+def so6_email_sets(spark: SparkSession, d: str) -> DataFrame:
+    emails = F.transform(F.from_json("emails_json", "array<string>"), F.lower)
+    return table(spark, d, "target_scope").filter("emails_json is not null").select("id", F.size(F.array_union(emails, F.array_except(emails, F.array().cast("array<string>")))).cast("long").alias("n"))
+
+
+@query(f"SELECT id, round(greatest(0, (epoch_us(TIMESTAMPTZ '{NOW}') - us) / 8.64e10), 6) AS days FROM (SELECT id, epoch_us(TRY_CAST(created_at AS TIMESTAMPTZ)) AS us, created_at FROM artifact WHERE regexp_matches(created_at, '^[0-9-]+T[0-9:]+Z$')) WHERE us IS NOT NULL")
+def sf13_age_days(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "artifact").filter(F.col("created_at").rlike("^[0-9-]+T[0-9:]+Z$"))
+    return rows.select("id", F.round(scalars.age_days(scalars.iso_timestamp(F.col("created_at")), F.to_timestamp(F.lit(NOW))), 6).alias("days")).filter("days is not null")
+
+
+@query("SELECT id, CASE WHEN w IN ('approved','changes_requested','commented') THEN w WHEN w IN ('changes','change','request_changes','request') THEN 'changes_requested' WHEN w = 'approve' THEN 'approved' WHEN w = 'comment' THEN 'commented' END AS decision FROM (SELECT id, regexp_replace(string_split(string_split(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), chr(10))[1], ' ')[1], '^[.,:;\"''`*]+|[.,:;\"''`*]+$', '', 'g') AS w FROM chunk WHERE kind = 'review_comment' AND text IS NOT NULL)")
+def sf24_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunk").filter("kind = 'review_comment' and text is not null").select("id", scalars.decision_of(F.col("text")).alias("decision"))
+
+
+@query()
+def sf25_clean_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunk").filter("summary is not null").select("id", scalars.clean_summary(F.col("summary")).alias("summary"))
+
+
+@query("WITH n AS (SELECT full_name, min(target_id) AS target_id, max(pushed_at) AS pushed_at FROM repo GROUP BY full_name) SELECT r.target_id, r.full_name, CASE WHEN n.full_name IS NOT NULL THEN n.pushed_at ELSE r.pushed_at END AS pushed_at, r.last_commits_at FROM repo r LEFT JOIN n ON n.target_id = r.target_id AND n.full_name = r.full_name")
+def up2_upsert_repo(spark: SparkSession, d: str) -> DataFrame:
+    repos = table(spark, d, "repo")
+    new = repos.groupBy("full_name").agg(F.min("target_id").alias("target_id"), F.max("pushed_at").alias("pushed_at"))
+    return state.upsert_repo(repos, new).select("target_id", "full_name", "pushed_at", "last_commits_at")
+
+
+@query("WITH o AS (SELECT * FROM artifact QUALIFY row_number() OVER (PARTITION BY target_id, kind, external_id ORDER BY id) = 1), n AS (SELECT * FROM artifact QUALIFY row_number() OVER (PARTITION BY target_id, kind, external_id ORDER BY id DESC) = 1) SELECT o.id, coalesce(n.decision, o.decision) AS decision, coalesce(n.author_login, o.author_login) AS author_login FROM o LEFT JOIN n ON n.target_id = o.target_id AND n.kind = o.kind AND n.external_id = o.external_id")
+def up4_metadata(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["target_id", "kind", "external_id"]
+    artifacts = table(spark, d, "artifact").select("id", *keys, "decision", "author_login")
+    old, new = state.last_of(artifacts, keys, F.col("id")), state.last_of(artifacts, keys, F.desc("id")).drop("id")
+    return state.update_metadata(old, new).select("id", "decision", "author_login")
+
+
+@query("SELECT id, CASE WHEN kind = 'file' THEN NULL WHEN summary IS NULL AND kind = 'code' THEN 's: ' || regexp_replace(text, '\\s+$', '', 'g') ELSE summary END AS summary FROM chunk")
+def up11_summaries(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk")
+    new = chunks.filter("summary is null and kind = 'code'").select("id", F.concat(F.lit("s: "), "text").alias("summary"))
+    return state.clear_summaries(state.write_summaries(chunks, new), ("file",)).select("id", "summary")
+
+
+@query("SELECT id, updated FROM (SELECT id, json_extract_string(meta_json, '$.state') AS st, created_at AS updated, CASE id % 3 WHEN 0 THEN NULL ELSE '2025-01-01' END AS cur, id % 5 AS fresh FROM artifact WHERE kind = 'pr' AND json_valid(meta_json)) WHERE cur IS NULL OR fresh > 3 OR coalesce(st <> 'open' AND updated > cur, false)")
+def pf13_needs_review(spark: SparkSession, d: str) -> DataFrame:
+    pulls = table(spark, d, "artifact").filter("kind = 'pr'").select("id", F.get_json_object("meta_json", "$.state").alias("st"), F.col("created_at").alias("updated"), F.when(F.col("id") % 3 != 0, "2025-01-01").alias("cur"), (F.col("id") % 5).alias("fresh"), "meta_json")
+    pulls = pulls.filter(F.try_parse_json("meta_json").isNotNull())
+    return pulls.filter(filters.needs_review(F.col("cur"), F.col("updated"), F.col("st"), F.greatest(F.col("fresh") - 3, F.lit(0)))).select("id", "updated")
+
+
+@query("SELECT c.id AS chunk_id, coalesce(json_extract_string(a.meta_json, '$.title'), '') AS title FROM chunk c LEFT JOIN (SELECT * FROM artifact WHERE json_valid(meta_json)) a ON a.id = c.artifact_id WHERE c.kind = 'pr_summary'")
+def jn10_pull_titles(spark: SparkSession, d: str) -> DataFrame:
+    meta = table(spark, d, "artifact").select(F.col("id").alias("artifact_id"), F.get_json_object("meta_json", "$.title").alias("title"))
+    rows = table(spark, d, "chunk").filter("kind = 'pr_summary'").select(F.col("id").alias("chunk_id"), "artifact_id").join(meta, "artifact_id", "left")
+    return rows.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("SELECT author_login, count(*) AS n FROM artifact WHERE author_login IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
+def rk6_top_authors(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.top_groups(table(spark, d, "artifact"), F.col("author_login"), "author_login")
+
+
+@query("SELECT id FROM artifact ORDER BY coalesce(created_at, '') DESC, id LIMIT 20")
+def rk5_most_recent(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "artifact").orderBy(F.coalesce("created_at", F.lit("")).desc(), "id").limit(20).select("id")
+
+
+@query()
+def sf23_diff_language(spark: SparkSession, d: str) -> DataFrame:
+    path = F.coalesce(F.get_json_object("context_json", "$.path"), F.lit("unknown"))
+    rows = table(spark, d, "chunk").filter("kind = 'review_comment'").select("id", F.concat(F.lit("+++ b/"), path, F.lit("\n")).alias("diff"))
+    return rows.select("id", languages.language_of_diff(F.col("diff")).alias("language"))
+
+
 # Clusters, rules, evaluation
 
 
