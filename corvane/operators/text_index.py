@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from corvane.functions.expand import QueryExpander
 from corvane.functions.porter import stem as porter
+from corvane.runtime import durable
 from corvane.schema import B, IDF_FLOOR, K1, TOP
 
 _TERM = r"[\p{L}\p{N}\p{M}_]+"
@@ -57,6 +58,11 @@ def lengths(posts: DataFrame) -> DataFrame:
     return posts.groupBy("chunk_id").agg(F.count("*").alias("len"))
 
 
+def sizes_of(texts: DataFrame, id_col: str, text_col: str, ascii_only: bool = False) -> DataFrame:
+    """The same straight from texts, without a shuffle."""
+    return texts.select(F.col(id_col).cast("long").alias("chunk_id"), F.size(raw_terms(F.col(text_col), ascii_only)).cast("long").alias("len")).filter("len > 0")
+
+
 def phrases_of(queries: DataFrame, stem: bool = False, ascii_only: bool = False) -> DataFrame:
     """query_id, grp, phrase and terms of queries (query_id, groups: arrays of arrays of words). A
     word without terms is left out, and so is a group without phrases."""
@@ -91,16 +97,18 @@ def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
-def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, n_texts: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, n_texts: DataFrame | None = None, sizes: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, chunk_id, score and rank of the texts that fit each query, the best k of each (all if
     None); less is better, ties by chunk_id. Every phrase of a query that stands in a text counts.
     ``candidates`` (chunk_id) filters hits and changes no score. ``n_texts`` is one row with the number
-    of texts of the index, those without terms included; by default texts with terms are counted."""
-    sizes = lengths(posts)
+    of texts of the index, those without terms included; by default texts with terms are counted.
+    ``sizes`` (chunk_id, len) are the texts' terms, if they are known more cheaply than by counting."""
+    sizes = sizes if sizes is not None else lengths(posts)
     counted = n_texts.toDF("_docs") if n_texts is not None else sizes.agg(F.count("*").alias("_docs"))
     # Both are one row.
     total = sizes.agg(F.sum("len").alias("_sum")).crossJoin(F.broadcast(counted)).select("_docs", (F.col("_sum") / F.col("_docs")).alias("_avg"))
-    hits = phrase_hits(posts, phrases)
+    # Read three times below; written once, the postings are scanned once for all phrases.
+    hits = durable(phrase_hits(posts, phrases), "hits")
     spread = hits.groupBy("phrase").agg(F.count("*").alias("_df"))
     asked = phrases.select("query_id", "grp", "phrase").distinct().join(spread, "phrase", "left").fillna(0, ["_df"])
     groups = asked.groupBy("query_id", "grp").agg(F.sum("_df").alias("_cost"))

@@ -15,7 +15,6 @@ from corvane.functions.expand import QueryExpander
 from corvane.functions.scalars import is_blank, truncated
 from corvane.operators import fusion, text_index, vector
 from corvane.operators.filters import Filters, candidate_ids, matches_glob
-from corvane.runtime import durable
 from corvane.schema import DECISIONS, FETCH, OVER_GLOB, TOP, TOP_VOTE
 
 
@@ -36,10 +35,12 @@ class Corpus:
     stem: bool = False
 
     def postings(self) -> DataFrame:
-        """The keyword index: made once for a corpus and written, since a search reads it several times."""
-        if self.posts is None:
-            self.posts = durable(text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only), "postings")
-        return self.posts
+        """The keyword index: the one that is given, which a large corpus should write once, or made
+        anew of the texts."""
+        return self.posts if self.posts is not None else text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)
+
+    def sizes(self) -> DataFrame:
+        return text_index.sizes_of(self.chunks, "id", "text", self.ascii_only)
 
     def n_texts(self) -> DataFrame:
         return self.chunks.filter("text is not null").agg(F.count("*"))
@@ -76,7 +77,7 @@ def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int
     groups = text_index.expanded_queries(queries, expander) if expander else text_index.plain_queries(queries)
     phrases = text_index.phrases_of(groups, corpus.stem, corpus.ascii_only)
     candidates = candidate_ids(corpus.chunks, corpus.artifacts, filters)
-    hits = text_index.bm25(corpus.postings(), phrases, candidates, None if coalesce else k, corpus.n_texts())
+    hits = text_index.bm25(corpus.postings(), phrases, candidates, None if coalesce else k, corpus.n_texts(), corpus.sizes())
     return fusion.one_of_copies(hits, corpus.keys(), k) if coalesce else hits
 
 

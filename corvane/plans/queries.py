@@ -260,7 +260,7 @@ def rt2_filter_last(spark: SparkSession, d: str) -> DataFrame:
 def rt4_bm25(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
     phrases = text_index.phrases_of(text_index.plain_queries(_asked(spark, d)), ascii_only=True)
-    hits = text_index.bm25(corpus.postings(), phrases, None, 10, corpus.n_texts())
+    hits = text_index.bm25(corpus.postings(), phrases, None, 10, corpus.n_texts(), corpus.sizes())
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
