@@ -18,7 +18,7 @@ CODE = ("code", "file")
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "size_limit").select(F.col("kind").alias("_kind"), "max_chars", "overlap_chars")
-    chunks = table(spark, d, "chunk").select("id", "kind", "text").join(limits, F.col("kind") == F.col("_kind"))
+    chunks = table(spark, d, "chunk", True).select("id", "kind", "text").join(limits, F.col("kind") == F.col("_kind"))
     return split.split_texts(chunks, "id", "text", F.col("max_chars"), F.col("overlap_chars"), F.col("kind").isin(*CODE)).withColumnRenamed("id", "chunk_id")
 
 
@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "artifact").filter("kind = 'file'").select("id", "source_url", "repo", "language")
-    chunks = table(spark, d, "chunk").filter("kind = 'file'").select("artifact_id", "text", "context_json")
+    chunks = table(spark, d, "chunk", True).filter("kind = 'file'").select("artifact_id", "text", "context_json")
     return generated.judge(generated.features(files, chunks))
 
 
@@ -46,7 +46,7 @@ def p2_handwritten(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "review_holdout").filter(F.col("created_at") >= HELD_OUT)
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", ["truth_comment", "diff_hunk"])
+    return leaks.find_leaks(table(spark, d, "documents", True), "doc_id", "text", items, "item_id", ["truth_comment", "diff_hunk"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p3_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _functions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = table(spark, d, "chunk").filter(F.col("kind").isin(*CODE)).select("id", "text", "language", "node_kind", "context_json")
+    chunks = table(spark, d, "chunk", True).filter(F.col("kind").isin(*CODE)).select("id", "text", "language", "node_kind", "context_json")
     return chunks, docpairs.documented(chunks, "id", "text", F.col("language"), F.col("node_kind"), F.get_json_object("context_json", "$.leading_doc"))
 
 
@@ -72,20 +72,20 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = secrets.scan(table(spark, d, "chunk"), "id", "text").withColumn("place", F.lit("chunk.text"))
-    urls = secrets.scan(table(spark, d, "artifact").filter("source_url is not null"), "id", "source_url").withColumns({"place": F.lit("artifact.source_url"), "line_no": F.lit(1).cast("long")})
+    chunks = secrets.scan(table(spark, d, "chunk", True), "id", "text").withColumn("place", F.lit("chunk.text"))
+    urls = secrets.scan(table(spark, d, "artifact", True).filter("source_url is not null"), "id", "source_url").withColumns({"place": F.lit("artifact.source_url"), "line_no": F.lit(1).cast("long")})
     # All spans of a row come from one task, so lines are made distinct where they are.
     return chunks.unionByName(urls).filter("kind <> 'continued'").select("place", "row_id", "line_no").distinct()
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.redact(table(spark, d, "chunk"), "id", "text").filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
+    return secrets.redact(table(spark, d, "chunk", True), "id", "text").filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    new = table(spark, d, "arrival").select("arrival_id", "kind", "external_id", "content_hash", "text")
+    new = table(spark, d, "arrival", True).select("arrival_id", "kind", "external_id", "content_hash", "text")
     old = table(spark, d, "artifact").select("kind", "external_id", "content_hash")
-    chunks = table(spark, d, "chunk").select("id", "text")
+    chunks = table(spark, d, "chunk", True).select("id", "text")
     store = history.History(spark)
     store.append(history.hash_rows(chunks, "id", "text"))
     store.append(history.hash_rows(new, "arrival_id", "text", "arrival_id"))
@@ -95,8 +95,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
-    texts = pii.candidates(table(spark, d, "chunk"), "id", "text", "chunk.text")
-    mails = pii.candidates(table(spark, d, "artifact"), "id", "author_email", "artifact.author_email")
+    texts = pii.candidates(table(spark, d, "chunk", True), "id", "text", "chunk.text")
+    mails = pii.candidates(table(spark, d, "artifact", True), "id", "author_email", "artifact.author_email")
     return pii.entities(texts.unionByName(mails))
 
 
@@ -106,38 +106,38 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
     found = durable(_personal(spark, d).filter("place = 'chunk.text'"), "personal")
-    return pii.redact(table(spark, d, "chunk"), "id", "text", found).filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
+    return pii.redact(table(spark, d, "chunk", True), "id", "text", found).filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.encode(table(spark, d, "documents", True), "doc_id", "text")
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("_text"))
+    docs = table(spark, d, "documents", True).select("doc_id", F.col("text").alias("_text"))
     back = tokens.decode(tokens.encode(docs, "doc_id", "_text"), "doc_id", "ids")
     same = back.join(docs, "doc_id").select("doc_id", (F.coalesce("_text", F.lit("")) == F.col("text")).alias("exact"))
     return same.groupBy("exact").agg(F.count("*").alias("n_docs"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_share"))[1]
+    return mix.mix(table(spark, d, "documents", True), table(spark, d, "mix_share"))[1]
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_share"))[0]
+    return mix.mix(table(spark, d, "documents", True), table(spark, d, "mix_share"))[0]
 
 
 def p9_soft_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_share"), soft=True)[1]
+    return mix.mix(table(spark, d, "documents", True), table(spark, d, "mix_share"), soft=True)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.expanded(*spans.shared_pairs(table(spark, d, "documents"), "doc_id", "text"))
+    return spans.expanded(*spans.shared_pairs(table(spark, d, "documents", True), "doc_id", "text"))
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", True)
     pairs, copies = spans.shared_pairs(docs, "doc_id", "text")
     return spans.shares(docs, "doc_id", "text", durable(pairs, "pairs"), copies)
 
