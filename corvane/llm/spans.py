@@ -45,33 +45,32 @@ def runs(text: str, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.
     return Digests(codes).of(begin, end), begin, end
 
 
-def stretches(a: str, b: str, least: int = MIN_CHARS) -> list[tuple[int, int, int]]:
-    """(begin in a, begin in b, length) of the longest common stretches of at least ``least``
-    characters: none can be made longer at either end."""
+def _covered(hit: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Stretches (begin, end) that windows at the given begins cover together, where windows follow
+    each other without a gap in their begins."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > 1)
+    first, last = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))]
+    return [(int(x), int(y) + least) for x, y in zip(first, last)]
+
+
+def common(a: str, b: str, least: int = MIN_CHARS) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches (begin, end) of ``a`` whose every window of ``least`` characters stands in ``b``, and
+    those of ``b`` that stand in ``a``. The time is that of sorting, also for repetitive texts."""
     x, y = points(a), points(b)
     if min(len(x), len(y)) < least:
-        return []
+        return [], []
     begin = np.arange(len(x) - least + 1)
     p = Digests(x).of(begin, begin + least)
     begin = np.arange(len(y) - least + 1)
     q = Digests(y).of(begin, begin + least)
-    order = np.argsort(q, kind="stable")
-    low, high = np.searchsorted(q[order], p, "left"), np.searchsorted(q[order], p, "right")
-    out: list[tuple[int, int, int]] = []
-    open_: dict[int, tuple[int, int]] = {}
-    for i in np.flatnonzero(high > low).tolist():
-        now = {}
-        for j in order[low[i] : high[i]].tolist():
-            if i - j in open_ and open_[i - j][1] == i - 1:
-                now[i - j] = (open_[i - j][0], i)
-            elif a[i : i + least] == b[j : j + least]:
-                now[i - j] = (i, i)
-        for d, (first, end) in open_.items():
-            if d not in now:
-                out.append((first, first - d, end - first + least))
-        open_ = now
-    out += [(first, first - d, end - first + least) for d, (first, end) in open_.items()]
-    return sorted(set(out))
+    in_a, in_b = _covered(np.isin(p, q), least), _covered(np.isin(q, p), least)
+    # Digests of 64 bits say so; the texts themselves are asked at both ends of each stretch.
+    in_a = [(i, j) for i, j in in_a if a[i : i + least] in b and a[j - least : j] in b]
+    in_b = [(i, j) for i, j in in_b if b[i : i + least] in a and b[j - least : j] in a]
+    return (in_a, in_b) if in_a and in_b else ([], [])
 
 
 def _keys(key: int, text: str, least: int) -> Iterator[tuple]:
@@ -97,8 +96,9 @@ def _hot_windows(key: int, text: str, hot: list[int], least: int) -> Iterator[tu
 
 def shared_pairs(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies). pairs: id_a < id_b of documents with different texts, each the first of its
-    copies, and ``stretches`` (begin_a, begin_b, length). copies: doc_id and the first document
-    ``same_as`` with the same text, for documents that aren't the first of theirs."""
+    copies, and the stretches (begin, end) of each that stand in the other, ``in_a`` and ``in_b``.
+    copies: doc_id and the first document ``same_as`` with the same text, for documents that aren't
+    the first of theirs."""
     if least < GEAR + RUN + 1:
         raise ValueError(f"least must be {GEAR + RUN + 1} or more")
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter(F.char_length("_text") >= least)
@@ -122,11 +122,12 @@ def shared_pairs(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_C
     paired = candidates.join(texts.select(F.col("_id").alias("id_a"), F.col("_text").alias("text_a")), "id_a").join(texts.select(F.col("_id").alias("id_b"), F.col("_text").alias("text_b")), "id_b")
 
     def verify(a: int, b: int, x: str, y: str) -> Iterator[tuple]:
-        common = stretches(x, y, least)
-        if common:
-            yield a, b, [{"begin_a": i, "begin_b": j, "length": n} for i, j, n in common]
+        in_a, in_b = common(x, y, least)
+        if in_a:
+            yield a, b, [{"begin": i, "end": j} for i, j in in_a], [{"begin": i, "end": j} for i, j in in_b]
 
-    pairs = flat_map(paired.select("id_a", "id_b", "text_a", "text_b"), verify, "id_a long, id_b long, stretches array<struct<begin_a:int,begin_b:int,length:int>>")
+    span = "array<struct<begin:int,end:int>>"
+    pairs = flat_map(paired.select("id_a", "id_b", "text_a", "text_b"), verify, f"id_a long, id_b long, in_a {span}, in_b {span}")
     return pairs, copies
 
 
@@ -146,9 +147,8 @@ def shares(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, copies
     """How much of each document stands elsewhere too: doc_id, n_chars, shared_chars, share and
     n_partners (other texts that share a stretch with it; copies count as one with it). Copies of
     whole texts are shared as a whole."""
-    pairs = pairs.select("id_a", "id_b", F.explode("stretches").alias("s"))
-    spans = pairs.select(F.col("id_a").alias("_id"), F.col("id_b").alias("_with"), F.col("s.begin_a").alias("_b"), (F.col("s.begin_a") + F.col("s.length")).alias("_e"))
-    spans = spans.unionByName(pairs.select(F.col("id_b").alias("_id"), F.col("id_a").alias("_with"), F.col("s.begin_b").alias("_b"), (F.col("s.begin_b") + F.col("s.length")).alias("_e")))
+    side = lambda own, other, held: pairs.select(F.col(own).alias("_id"), F.col(other).alias("_with"), F.explode(held).alias("s")).select("_id", "_with", F.col("s.begin").alias("_b"), F.col("s.end").alias("_e"))
+    spans = side("id_a", "id_b", "in_a").unionByName(side("id_b", "id_a", "in_b"))
     partners = spans.groupBy("_id").agg(F.count_distinct("_with").alias("_n"))
     before = W.partitionBy("_id").orderBy("_b", "_e").rowsBetween(W.unboundedPreceding, -1)
     covered = spans.select("_id", "_b", "_e").distinct().withColumn("_max", F.coalesce(F.max("_e").over(before), F.lit(0)))

@@ -55,8 +55,9 @@ def test_shared_spans_are_those_of_brute_force(spark, hot, least):
     assert len(got) == len(set(got)) and set(got) == _brute(docs, least)
     text = dict(docs)
     for r in pairs.collect():
-        for s in r.stretches:
-            assert text[r.id_a][s.begin_a : s.begin_a + s.length] == text[r.id_b][s.begin_b : s.begin_b + s.length]
+        for own, other, held in ((r.id_a, r.id_b, r.in_a), (r.id_b, r.id_a, r.in_b)):
+            for s in held:
+                assert all(text[own][i : i + least] in text[other] for i in range(s.begin, s.end - least + 1))
     shares = {r.doc_id: r for r in spans.shares(df, "doc_id", "text", pairs, copies).collect()}
     assert len(shares) == len(docs) and shares[93].shared_chars == 0 and shares[92].n_chars == 0
     for k in (1, 2, 20, 40):
@@ -75,6 +76,14 @@ def test_spans_of_nothing(spark):
         spans.shared_pairs(df, "doc_id", "text", 20)
 
 
+def test_repetitive_texts_take_no_longer(spark):
+    a, b = "-" * 60_000, "x" + "-" * 50_000
+    assert spans.common(a, b) == ([(0, 60_000)], [(1, 50_001)])
+    df = spark.createDataFrame([(1, a), (2, b), (3, "=" * 60_000)], "doc_id long, text string")
+    pairs, copies = spans.shared_pairs(df, "doc_id", "text")
+    assert [tuple(r) for r in spans.expanded(pairs, copies).collect()] == [(1, 2)]
+
+
 def test_boundaries_depend_on_content_only():
     rng = np.random.default_rng(3)
     x = rng.integers(97, 123, 3000).astype(np.uint32)
