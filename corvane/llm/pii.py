@@ -152,20 +152,20 @@ def _rows(place: str):
     def rows(key: int, text: str | None) -> Iterator[tuple]:
         if not text or text.isspace():
             return
-        taken: list[tuple[int, int]] = []
-        filled = text
+        taken, signs = bytearray(len(text)), list(text)
         for kind, find in (("email", emails), ("street_address", streets), ("phone", phones)):
             if kind != "email" and not any(c.isdigit() for c in text):
                 continue
             for a, b in find(text):
-                taken.append((a, b))
-                filled = filled[:a] + _FILL[kind] * (b - a) + filled[b:]
+                taken[a:b] = b"\x01" * (b - a)
+                signs[a:b] = _FILL[kind] * (b - a)
                 yield place, key, kind, a, b, None, None, None, None, None, True
+        filled = "".join(signs)
         for a, b, seed in numbers(text):
-            if not any(x < b and a < y for x, y in taken):
+            if not any(taken[a:b]):
                 yield place, key, "id_number", a, b, text[a:b], "", *_context(filled, a, b), seed
         for a, b, given, family, seed in names(text):
-            if family and not any(x <= a and b <= y for x, y in taken):
+            if family and not all(taken[a:b]):
                 yield place, key, "person_name", a, b, given, family, *_context(filled, a, b), seed
 
     return rows
