@@ -87,8 +87,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "artifact").select("kind", "external_id", "content_hash")
     chunks = table(spark, d, "chunk", True).select("id", "text")
     store = history.History(spark)
-    store.append(history.hash_rows(chunks, "id", "text"))
-    store.append(history.hash_rows(new, "arrival_id", "text", "arrival_id"))
+    order = history.order_of(chunks.select("text"), new.select("text"))
+    store.append(history.hash_rows(chunks, "id", "text", order=order))
+    store.append(history.hash_rows(new, "arrival_id", "text", "arrival_id", order))
     known = durable(history.by_key(new, "arrival_id", "arrival_id", old, ["kind", "external_id", "content_hash"]).unionByName(history.copies(store)).distinct(), "known")
     near = history.compare(history.candidates(store, known), new, "arrival_id", "text", chunks, "id", "text")
     return known.unionByName(near.select("own")).distinct().select(F.col("own").alias("arrival_id"))

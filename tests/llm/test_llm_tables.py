@@ -91,6 +91,28 @@ def test_repeats_are_those_of_brute_force(spark):
         store.drop()
 
 
+def test_repeats_by_fragments_that_many_texts_share(spark):
+    rng = random.Random(11)
+    old, new = [], []
+    for k in range(12):
+        base = [f"a{k}x{i}" for i in range(60)]
+        cut = [base[i : i + 4] for i in range(0, 60, 5)]
+        old.append((k, " ".join(base)))
+        new.append((1000 + k, k, " ".join(w if i % 5 < 4 else f"new{k}x{i}" for i, w in enumerate(base))))
+        for j in range(4):  # the fragments in other orders, which repeats nothing
+            rng.shuffle(cut)
+            old.append((100 + 10 * k + j, " ".join(f"{' '.join(c)} o{k}x{j}x{i}" for i, c in enumerate(cut))))
+    o = spark.createDataFrame(old, "id long, text string")
+    n = spark.createDataFrame(new, "arrival_id long, seq long, text string")
+    for hot in (3, 32):
+        store = history.History(spark)
+        store.append(history.hash_rows(o, "id", "text"))
+        store.append(history.hash_rows(n, "arrival_id", "text", "seq"))
+        near = history.compare(history.candidates(store, history.copies(store), hot), n, "arrival_id", "text", o, "id", "text")
+        assert {(r.own, r.other) for r in near.collect()} == {(1000 + k, k) for k in range(12)}
+        store.drop()
+
+
 def test_words_in_order():
     rng = random.Random(8)
 
