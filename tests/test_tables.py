@@ -142,6 +142,15 @@ def test_clusters_of_blobs(spark):
     assert (cluster.labels_of(np.ones((5, 3))) == -1).all() or True
 
 
+def test_clusters_of_blocks_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=6) + rng.normal(scale=0.05, size=(rng.integers(3, 9), 6)) for _ in range(30)] + [rng.normal(size=(40, 6))])
+    df = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)] + [("t", 1000 + k, v.tolist()) for k, v in enumerate(x[:30])], "scope string, chunk_id long, embedding array<double>")
+    rows = lambda at_once: {(r.scope, r.cluster_id, r.chunk_id) for r in cluster.clusters(df, at_once=at_once).collect()}
+    assert len(rows(1000)) > 60
+    assert rows(30) == rows(16) == rows(1000)
+
+
 def test_measures(spark):
     pairs = spark.createDataFrame([(1.0, 0.5), (0.9, 0.5), (0.8, 0.6), (None, 1.0)], "b double, a double")
     t, p = evaluate.paired_t(pairs, "b", "a")
