@@ -79,7 +79,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.redact(table(spark, d, "chunk", True), "id", "text").filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
+    chunks = secrets.redact(table(spark, d, "chunk", True), "id", "text").withColumn("place", F.lit("chunk.text"))
+    urls = secrets.redact(table(spark, d, "artifact", True).filter("source_url is not null"), "id", "source_url").withColumn("place", F.lit("artifact.source_url"))
+    return chunks.unionByName(urls).filter("n_found > 0").select("place", "row_id", "masked", "n_found")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
