@@ -108,8 +108,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
-    found = durable(_personal(spark, d).filter("place = 'chunk.text'"), "personal")
-    return pii.redact(table(spark, d, "chunk", True), "id", "text", found).filter("n_found > 0").withColumnRenamed("row_id", "chunk_id")
+    found = durable(_personal(spark, d), "personal")
+    texts = pii.redact(table(spark, d, "chunk", True), "id", "text", found.filter("place = 'chunk.text'")).withColumn("place", F.lit("chunk.text"))
+    mails = pii.redact(table(spark, d, "artifact", True), "id", "author_email", found.filter("place = 'artifact.author_email'")).withColumn("place", F.lit("artifact.author_email"))
+    return texts.unionByName(mails).filter("n_found > 0").select("place", "row_id", "masked", "n_found")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

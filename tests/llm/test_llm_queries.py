@@ -22,3 +22,9 @@ def test_credentials_are_masked_at_both_places(spark, tmp_path):
     d = _folder(spark, tmp_path, "https://ci:Xk29fLq7Zw@h.example/r/blob/a/b.py?x=1", None, 'password = "Xk29fLq7Zw!"\n')
     want = {("chunk.text", 1, 'password = "[REDACTED]"\n'), ("artifact.source_url", 1, "https://ci:[REDACTED]@h.example/r/blob/a/b.py?x=1")}
     assert {(r.place, r.row_id, r.masked) for r in queries.p5_masked(spark, d).collect()} == want
+
+
+def test_personal_data_is_masked_at_both_places(spark, tmp_path):
+    d = _folder(spark, tmp_path, None, "mara.lind@mail.example", "ask mara.lind@mail.example\n")
+    want = {("chunk.text", 1, "ask [EMAIL]\n"), ("artifact.author_email", 1, "[EMAIL]")}
+    assert {(r.place, r.row_id, r.masked) for r in queries.p7_masked(spark, d).collect()} == want
