@@ -133,12 +133,14 @@ def mix(docs: DataFrame, shares: DataFrame, path: str | None = None, total: floa
     limit = F.coalesce(*(F.when(F.col("domain") == s, F.lit(cut.get(s, 0.0))) for s in names), F.col("_part"))
     copies = (F.col("_whole") + F.when((F.col("_part") > 0) & (place < limit), 1).otherwise(0)).cast("int")
     taken = rated.withColumn("copies", copies).filter("copies > 0 and n > 0").select("doc_id", F.col("domain").alias("source"), F.col("n").cast("long").alias("n_tokens"), "copies", "p")
-    in_mix = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
-    whole = in_mix.agg(F.sum("mix_tokens").alias("_all"))
+    # Documents without a listed source count for each domain by their posteriors.
+    parts = taken.select(F.posexplode("p").alias("_k", "_p"), "source", "n_tokens", "copies").filter("_p > 0").withColumn("_of", F.array(*map(F.lit, names))[F.col("_k")])
+    in_mix = parts.groupBy(F.col("_of").alias("source")).agg(F.sum(F.col("n_tokens") * F.col("copies") * F.col("_p")).alias("_mixed"), F.max(F.when(F.col("source") == F.col("_of"), F.col("copies"))).alias("most_copies"))
+    whole = taken.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("_all"))
     available = sized.groupBy(F.col("domain").alias("source")).agg(F.sum("n").alias("available_tokens"))
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, t, int(c), float(x)) for s, t, c, x in zip(names, target, caps, m)], "source string, target_share double, max_repeats int, rate double")
     report = plan.join(available, "source", "left").join(in_mix, "source", "left").crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).cast("long").alias("available_tokens"), F.round("rate", 6).alias("rate"), F.coalesce("mix_tokens", F.lit(0)).cast("long").alias("mix_tokens"), F.round(F.coalesce("mix_tokens", F.lit(0)) / F.col("_all"), 6).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies")
+        "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).cast("long").alias("available_tokens"), F.round("rate", 6).alias("rate"), F.round(F.coalesce("_mixed", F.lit(0.0))).cast("long").alias("mix_tokens"), F.round(F.coalesce("_mixed", F.lit(0.0)) / F.col("_all"), 6).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies")
     )
     return taken.drop("p"), report

@@ -159,6 +159,16 @@ def test_mix_meets_its_shares(spark):
     assert empty.count() == 0 and none.count() == 4
 
 
+def test_soft_shares_hold_all_tokens(spark):
+    docs = [(k, f"{s} {s}x {s}y word{k}", s) for k in range(60) for s in [("file", "note")[k % 2]]] + [(100 + k, "note notex notey", None) for k in range(20)]
+    shares = spark.createDataFrame([("file", 0.5, 1), ("note", 0.5, 2)], "source string, target_share double, max_repeats int")
+    taken, report = mix.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), shares, soft=True)
+    assert taken.filter("source is null").count() > 0
+    rows = report.collect()
+    assert sum(r.actual_share for r in rows) == pytest.approx(1, abs=1e-5)
+    assert abs(sum(r.mix_tokens for r in rows) - taken.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0]) <= 1
+
+
 def test_posteriors_tell_domains(spark):
     rows = [(k, "alpha beta gamma" if k % 2 else "delta eps zeta", ["a", "b"][k % 2]) for k in range(60)] + [(100, "beta alpha", None), (101, "zeta", None), (102, None, None)]
     p = {r.doc_id: r.p for r in mix.memberships(spark.createDataFrame(rows, "doc_id long, text string, domain string"), ["a", "b"]).collect()}
