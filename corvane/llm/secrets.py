@@ -29,7 +29,7 @@ from corvane.llm.arrow import flat_map
 
 #: Layers of encoding that are opened, and what stands in place of a value.
 DEPTH, MASK = 3, "[REDACTED]"
-#: Characters above which an assigned value is data and no credential.
+#: Characters above which an assigned value is data and no credential, unless it is a key's container.
 LONGEST = 512
 
 #: Names that hold a credential, as the last words of an identifier.
@@ -119,6 +119,56 @@ def container(body: str) -> str:
     return "opaque"
 
 
+def _der(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and contents of the DER elements that ``data`` is made of, or None if it is no DER."""
+    out, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return None
+        tag, size, at = data[at], data[at + 1], at + 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not 0 < n <= 4 or at + n > len(data):
+                return None
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        if at + size > len(data):
+            return None
+        out.append((tag, data[at : at + size]))
+        at += size
+    return out
+
+
+def private_container(data: bytes) -> bool:
+    """Whether bytes are the container of a private key: OpenSSH's, or DER as PKCS#8 (also encrypted),
+    PKCS#1, DSA or SEC1. Public keys and certificates are none."""
+    if data.startswith(b"openssh-key-v1\0"):
+        return True
+    whole = _der(data) if data[:1] == b"\x30" else None
+    if not whole or len(whole) != 1 or not (inner := _der(whole[0][1])):
+        return False
+    tags, first = [t for t, _ in inner], inner[0][1]
+    if tags[:3] == [2, 0x30, 4]:
+        return first in (b"\0", b"\1")
+    if tags[:2] == [2, 4]:
+        return first == b"\1" and len(inner[1][1]) >= 16
+    if tags == [0x30, 4]:
+        return first.startswith((b"\x06\x09\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x06\x0a\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01"))
+    return len(tags) >= 6 and set(tags[:6]) == {2} and first in (b"\0", b"\1")
+
+
+def key_literal(value: str) -> bool:
+    """Whether a base64 or hex literal is the container of a private key."""
+    if len(value) < 40 or not value.startswith(("M", "b3BlbnNzaC1rZXkt", "30", "6f70656e", "6F70656E")):
+        return False
+    try:
+        if _HEX.fullmatch(value):
+            return private_container(bytes.fromhex(value))
+        value = value.rstrip("=").translate({45: 43, 95: 47})
+        return private_container(base64.b64decode(value + "=" * (-len(value) % 4), validate=True))
+    except (binascii.Error, ValueError):
+        return False
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _BLOCK.finditer(text):
         end = text.find(f"-----END {m[1]}-----", m.end())
@@ -163,7 +213,7 @@ def _assignments(text: str) -> Iterator[tuple[int, int, str]]:
             whole, at = whole + piece, more.end()
         if _URL.search(value) or re.search(r"\bPwd=|\bpassword=", value, re.I) or re.match(r"(?:bearer|basic)\s", value, re.I) or value.startswith("-----"):
             continue
-        if live(whole) and len(whole) <= LONGEST:
+        if live(whole) and len(whole) <= LONGEST or key_literal(whole):
             for c, d in spans:
                 yield c, d, "assignment" if c == a else "continued"
     for m in _FOLDED.finditer(text):
@@ -261,6 +311,7 @@ def find(text: str | None, depth: int = DEPTH) -> list[tuple[int, int, str]]:
     if not any(word in low for word in _TELLING) and not _LONG.search(text):
         return []
     spans = list(_plain(text))
+    spans += [(m.start(), m.end(), "encoded") for m in _LITERAL.finditer(text) if m["b64"] and key_literal(m[0])]
     if depth:
         for m in _LITERAL.finditer(text):
             for inner in _decoded(m):

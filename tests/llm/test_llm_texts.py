@@ -261,3 +261,26 @@ def test_lexer_tells_lines():
     assert [s for _, k, _, _, s, _ in lexer.lines(RS, "rust") if k == "def"] == ["join", "alone"]
     assert [s for _, k, _, _, s, _ in lexer.lines(JS, "javascript") if k == "def"] == ["send", "run"]
     assert list(lexer.lines(None, None)) == [] and len(list(lexer.lines("\r\n".join("ab"), None))) == 2
+
+
+def test_private_keys_without_begin_lines():
+    import base64
+
+    from corvane.llm import secrets
+
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    rng = __import__("random").Random(3)
+    oid = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + b"\x05\0")
+    private = der(0x30, der(2, b"\0") + oid + der(4, rng.randbytes(1180)))
+    public = der(0x30, oid + der(3, rng.randbytes(270)))
+    for data, n in ((private, 1), (b"openssh-key-v1\0" + rng.randbytes(300), 1), (public, 0), (private[:-9], 0)):
+        for value in (base64.b64encode(data).decode(), data.hex()):
+            text = f'BLOB = "{value}"\n'
+            assert len(spans := secrets.find(text)) == n
+            assert not n or secrets.mask(text, spans) == f'BLOB = "{secrets.MASK}"\n'
+    value = base64.b64encode(private).decode()
+    text = f'PRIVATE_KEY = "{value}"\n'
+    assert secrets.mask(text, secrets.find(text)) == f'PRIVATE_KEY = "{secrets.MASK}"\n'
