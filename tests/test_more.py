@@ -21,10 +21,10 @@ def test_definitions_with_braces():
 
 def test_languages(spark):
     assert [languages.of_name(n) for n in ("a.py", "b.tsx", "c.json", "d.md", "Makefile", "x.unknown", "", "e.sh")] == ["python", "tsx", None, None, "make", None, None, "shell"]
-    assert languages.of_diff("+++ b/readme.md\n+++ b/src/x.go\n") == "go" and languages.of_diff(None) is None
     df = spark.createDataFrame([("a/b.rs",), (None,), ("",)], "p string")
     assert [r[0] for r in df.select(languages.language_of_path(F.col("p"))).collect()] == ["rust", None, None]
-    assert df.select(languages.language_of_diff(F.lit("+++ b/x.py"))).first()[0] == "python"
+    diffs = spark.createDataFrame([("+++ b/x.py",), ("+++ b/readme.md\n+++ b/src/x.go\n",), ("",), (None,)], "d string")
+    assert [r[0] for r in diffs.select(languages.language_of_diff(F.col("d"))).collect()] == ["python", "go", None, None]
 
 
 def test_one_scope(spark):
