@@ -16,16 +16,24 @@ HELD_OUT = "2026-01-01"
 CODE = ("code", "file")
 
 
-def _pieces(spark: SparkSession, d: str) -> DataFrame:
+def _pieces(spark: SparkSession, d: str, range_chars: int = split.RANGE_CHARS) -> DataFrame:
     limits = table(spark, d, "size_limit").select(F.col("kind").alias("_kind"), "max_chars", "overlap_chars")
     chunks = table(spark, d, "chunk", True).select("id", "kind", "text").join(limits, F.col("kind") == F.col("_kind"))
-    return split.split_texts(chunks, "id", "text", F.col("max_chars"), F.col("overlap_chars"), F.col("kind").isin(*CODE)).withColumnRenamed("id", "chunk_id")
+    return split.split_texts(chunks, "id", "text", F.col("max_chars"), F.col("overlap_chars"), F.col("kind").isin(*CODE), range_chars).withColumnRenamed("id", "chunk_id")
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p1_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """Small ranges, so that texts cross their edges; pieces must cover each text all the same."""
+    limits = table(spark, d, "size_limit").select(F.col("kind").alias("_kind"), "max_chars")
+    kinds = table(spark, d, "chunk").select(F.col("id").alias("chunk_id"), "kind")
+    tiles = split.tiling(_pieces(spark, d, 1024), "chunk_id").join(kinds, "chunk_id").join(limits, F.col("kind") == F.col("_kind"))
+    return tiles.select("chunk_id", "n_chars", "new_chars", (F.col("longest") <= F.col("max_chars")).alias("within"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split.found(_pieces(spark, d), "chunk_id")
 

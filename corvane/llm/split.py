@@ -8,10 +8,14 @@ tables of the ranges are then stitched: prefix sums over the lengths and piece c
 ranges give offsets in the whole text and piece numbers. ``split_files`` does the same over byte
 ranges of files that never are in memory as a whole, and emits the pieces by their offsets.
 
+What a place is worth depends on at most BEHIND characters before and AHEAD after it, so the halo of
+a range holds all that its edges are judged by, however long runs of blanks or marks are.
+
 Defined results: null, empty and short texts and texts of a kind without a limit give no piece.
 Every piece has at most ``max_chars`` characters; all but the first begin with the last
-``overlap`` characters of what came before. An overlap over half the limit counts as half of it,
-a negative or null one as 0; a null limit or one under 2 splits nothing."""
+``overlap`` characters of what came before (with all of it where that is less). An overlap of the
+limit or more counts as one under it, a negative or null one as 0; a null limit or one under 2
+splits nothing. Ids must tell the rows apart."""
 
 from __future__ import annotations
 
@@ -25,19 +29,19 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrow import flat_map
 
-#: Characters of a range, and what is read after its edge to tell what a boundary is worth.
-RANGE_CHARS, AHEAD = 1 << 16, 128
+#: Characters of a range, and what is read before and after a place to tell what it is worth.
+RANGE_CHARS, BEHIND, AHEAD = 1 << 16, 96, 128
 #: Ranges whose prefix sums are made in one task; longer texts take a second level.
 BLOCK = 1024
 #: What a boundary is, best first; the last is a cut anywhere.
 WORTH = ("section", "paragraph", "block", "line", "sentence", "word", "none")
 
-_LINE = re.compile(r"(?:\r\n|\n|\r)(?=([ \t]*)([^\s]?[^\n\r]{0,40}))")
-_BLANK = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)$")
+_LINE = re.compile(r"(?:\r\n|\n|\r)(?=([ \t]{0,64})(\S?[^\n\r]{0,40}))")
+_BLANK = re.compile(r"(?:\n|\r(?!\n))[ \t]{0,64}(?:\r\n|\n|\r)\Z")
 _DEF = re.compile(r"(?:export |pub(?:\(crate\))? |async |default )*(?:def|class|func|fn|impl|function|interface|struct|enum|trait|mod|type|const \w+ = (?:async )?\(|@\w|#\[)")
 _HEAD = re.compile(r"#{1,6} |```|-{3,}|={3,}|diff --git |@@ ")
-_SENTENCE = re.compile(r"[.!?][\"')\]]*\s+(?=\S)|[;,{}]\s+(?=\S)")
-_SPACE = re.compile(r"\s+(?=\S)")
+_SENTENCE = re.compile(r"(?:[.!?][\"')\]]{0,8}|[;,{}])\s{1,64}(?=\S)")
+_SPACE = re.compile(r"(?<=\s)(?=\S)")
 
 
 def boundaries(text: str, code: bool) -> list[tuple[int, int]]:
@@ -50,7 +54,7 @@ def boundaries(text: str, code: bool) -> list[tuple[int, int]]:
         found[m.end()] = 4
     for m in _LINE.finditer(text):
         at, indent, begin = m.end(), len(m[1].expandtabs(4)), m[2]
-        blank = bool(_BLANK.search(text, max(0, at - 80), at))
+        blank = bool(_BLANK.search(text, max(0, at - BEHIND + 16), at))
         if code:
             worth = 0 if blank and indent == 0 or indent == 0 and _DEF.match(begin) else 1 if blank or _DEF.match(begin) else 2 if indent <= 4 and begin[:1] not in ("}", ")", "]", "") else 3
         else:
@@ -95,7 +99,7 @@ def cut_range(text: str, left: int, right: int, first: bool, last: bool, limit:
     end, last_worth = (right, 0) if last else cuts.best(right - limit // 2, right)
     out, at = [], begin
     while at < end:
-        before = 0 if first and at == 0 else overlap
+        before = min(overlap, at) if first else overlap
         room = limit - before
         if end - at <= room:
             stop, worth = end, last_worth
@@ -110,7 +114,7 @@ def cut_range(text: str, left: int, right: int, first: bool, last: bool, limit:
 
 def _limits(limit: Column, overlap: Column) -> tuple[Column, Column]:
     limit = limit.cast("int")
-    return limit, F.least(F.greatest(F.coalesce(overlap.cast("int"), F.lit(0)), F.lit(0)), F.floor(limit / 2).cast("int"))
+    return limit, F.least(F.greatest(F.coalesce(overlap.cast("int"), F.lit(0)), F.lit(0)), limit - 1)
 
 
 def _prefix(ranges: DataFrame, key: str) -> DataFrame:
@@ -138,7 +142,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: Column, overla
     over = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), limit.alias("_limit"), overlap.alias("_over"), F.coalesce(code if code is not None else F.lit(False), F.lit(False)).alias("_code"), size.alias("_len")).filter((F.col("_limit") >= 2) & (F.col("_len") > F.col("_limit")))
     span = F.greatest(F.lit(range_chars), F.col("_limit") * 2)
     over = over.withColumn("_span", span).withColumn("_range", F.explode(F.sequence(F.lit(0), F.floor((F.col("_len") - 1) / F.col("_span")).cast("int"))))
-    left = F.least(F.col("_range") * F.col("_span"), F.col("_limit") * 2)
+    left = F.least(F.col("_range") * F.col("_span"), F.col("_limit") * 2 + BEHIND)
     at = F.col("_range") * F.col("_span") - left
     over = over.withColumns({"_left": left, "_own": F.least(F.col("_span"), F.col("_len") - F.col("_range") * F.col("_span"))})
     over = over.withColumn("_slice", F.col("_text").substr(at + 1, F.col("_left") + F.col("_own") + AHEAD))
@@ -192,9 +196,7 @@ def _range_of(path: str, number: int, span: int, halo: int, length: int) -> tupl
 
     def whole(at: int) -> int:
         at = min(at, len(raw))
-        while at < len(raw) and raw[at] & 0xC0 == 0x80:
-            at += 1
-        return at
+        return next((k for k in range(at, min(at + 3, len(raw))) if raw[k] & 0xC0 != 0x80), min(at + 3, len(raw)))
 
     low, left, right = whole(0 if begin == 0 else 1), whole(number * span - begin), whole(min(length, (number + 1) * span) - begin)
     head, own = raw[low:left].decode("utf-8", "replace"), raw[left:right].decode("utf-8", "replace")
@@ -206,8 +208,8 @@ def split_files(files: DataFrame, max_chars: int, overlap_chars: int, code: bool
     length (see list_files): path and the columns of split_texts. Workers read byte ranges with
     halos; only boundary tables are shuffled, and the pieces' texts are read again by offset.
     Bytes that are no UTF-8 count as U+FFFD."""
-    overlap = min(max(0, overlap_chars), max_chars // 2)
-    halo = max_chars * 8
+    overlap = min(max(0, overlap_chars), max_chars - 1)
+    halo = (max_chars * 2 + BEHIND) * 4
     span = max(range_bytes, 2 * halo)
 
     def scan(path: str, length: int, number: int) -> Iterator[tuple]:
@@ -229,6 +231,14 @@ def split_files(files: DataFrame, max_chars: int, overlap_chars: int, code: bool
     return flat_map(stitched, emit, "path string, piece_no long, n_pieces long, start_char long, new_char long, end_char long, boundary string, piece_text string")
 
 
+def tiling(pieces: DataFrame, id_col: str) -> DataFrame:
+    """For each text that was split: ``id_col``, n_chars (its end), new_chars (characters that are new
+    in one of its pieces) and longest (characters of its longest piece). A text is covered without gap
+    or repeat where n_chars and new_chars are equal."""
+    size = F.col("end_char") - F.col("new_char")
+    return pieces.groupBy(id_col).agg(F.max("end_char").alias("n_chars"), F.sum(size).alias("new_chars"), F.max(F.char_length("piece_text")).cast("long").alias("longest"))
+
+
 def found(pieces: DataFrame, id_col: str) -> DataFrame:
     """Ids of the texts that were split."""
     return pieces.filter((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).select(id_col)
