@@ -1,16 +1,22 @@
 """Problem 2: source files that were generated, packed, copied from elsewhere or are data.
 
-Notices label: headers of tools, copies and packers, names and folders by which tools and copies
-go, a repository in the context that isn't the artifact's own, and files that are one literal.
-A random forest learns from what is left when notices are taken out: compression ratio, token
-entropy, lengths of identifiers and lines, density of comments, digits and blanks. Two rounds: the
-first finds unlabelled files that look like labelled ones and labelled ones that look like any
-other (a copy looks like hand-written code); the second learns without both. A file is found by a
-notice or by the forest, so files whose notice is missing come out by their looks.
-
-The forest is fitted on a bounded sample (``SAMPLE`` rows by a hash of the id); features, labels
-and scores are computed for all files. Defined results: files without text count by their notices;
-null URLs, repositories and contexts are no notice; configuration files are never found."""
+Random forests decide. Notices label: comments at a file's head or end by which tools, packers and
+copies tell of themselves, and what is known of a file's origin (folders and names by which tools
+and copies go, a repository in the URL or the context that isn't the artifact's own, files that are
+one literal). The lines of notices are taken out of a text before its features are made: compression
+ratio, token entropy, lengths of identifiers and lines, density of comments, digits, blanks and
+literals, and the signs of origin. One forest sees all of these, another the looks alone, so that
+files without any sign are found; the higher score counts. The forest of looks learns without files
+that only their origin labels, since a copy looks like any other, and is fitted twice: the first
+finds unlabelled files that look like labelled ones and labelled ones that look like any other, the
+second learns without both.
+
+A file is found by the forest's score; a file whose comment says that it isn't written by hand keeps
+that label, whatever the forest thinks of its looks (a copied file looks like any other).
+
+The forests are fitted on a bounded sample (``SAMPLE`` rows by a hash of the id); features, labels
+and scores are computed once, for all files. Defined results: files without text count by their
+origin; null URLs, repositories and contexts tell nothing; configuration files are never found."""
 
 from __future__ import annotations
 
@@ -32,18 +38,22 @@ from corvane.runtime import durable
 
 #: Rows to fit on at most, trees and depth of the forest, score from which on a file is found.
 SAMPLE, TREES, DEPTH, SCORE = 20_000, 20, 6, 0.5
-#: Characters of the head of a file in which notices are looked for.
-HEAD = 800
+#: Places of the hash by which the sample is drawn: so many that a sample of any corpus has some.
+PLACES = 1 << 53
 #: Languages of configuration and documents.
 CONFIG = ("yaml", "toml", "json", "ini", "xml", "markdown", "text", "properties", "dockerfile", "makefile")
 
 _HEADER = re.compile(
-    r"@generated\b|\bcode generated\b|<auto-generated|\bauto-?generated (?:file|from|by|code|with)|\b(?:was |is )?automatically generated|\bgenerated (?:by|from|with|using) |\bmachine[- ]generated|maschinell erzeugt|automatisch (?:erzeugt|generiert)|\bproduced by \S+ v?\d|\bedits are lost|\bchanges will be overwritten|\bdo not (?:edit|modify) (?:by hand|manually|this)|(?:^|[.;,-] )do not edit\b"
-    r"|\bvendored (?:copy of|from) |\bimported (?:verbatim|unchanged) from |\bcopied (?:unchanged|verbatim|from) |\bbundled, see upstream|\bdo not patch here|\btaken (?:unchanged|verbatim) from |\bforked from |\bmirror of \S+/\S+|\bupstream:? https?://",
+    r"@generated\b|<auto-?generated|\bcode generated\b|\b(?:auto|machine|tool)[- ]?(?:matically )?generated\b"
+    r"|\b(?:auto-?)?(?:generated|produced|emitted|compiled|transpiled) (?:automatically )?(?:by|from|with|using|via) (?!hand\b)"
+    r"|\b(?:maschinell|automatisch) (?:erzeugt|generiert|erstellt)|\bautomatiquement\b.{0,20}\bg[ée]n[ée]r[ée]|\bg[ée]n[ée]r[ée].{0,20}\bautomatiquement|\bgenerado autom"
+    r"|\b(?:edits|changes|modifications) (?:\w+ ){0,4}(?:lost|overwritten|discarded|clobbered|reverted)\b|\bdo not (?:edit|modify|change|patch|touch|alter)\b|\bnicht (?:bearbeiten|editieren)\b|\bne pas (?:modifier|[ée]diter)\b|\bno editar\b"
+    r"|\b(?:vendored|bundled|imported|copied|mirrored|forked|taken|extracted|backported|synced)(?: copy| verbatim| unchanged| unmodified| as[- ]is)* (?:of|from) |\bmirror of \S+/\S+|\b(?:vendored|bundled|copied|imported|mirrored)\b.{0,40}\bupstream\b|\bupstream:? https?://",
     re.I,
 )
 _PACKED = re.compile(r"\A\s*/\*!.{0,120}?\bv?\d+\.\d+.{0,80}?\*/", re.S)
-_HAND = re.compile(r"\bhand-?written\b|\bwrites the\b|\bchecks that\b|\bthat the \w+ generates|\bgenerator for\b|\"[^\"]*do not edit[^\"]*\"", re.I)
+#: What a comment quotes is no notice, and what was written by hand has none.
+_QUOTED, _HAND = re.compile(r"\"[^\"]*\"|`[^`]*`|“[^”]*”"), re.compile(r"\bhand-?written\b|\bby hand from\b", re.I)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|%)")
 _FOLDER = re.compile(
     r"(?:^|/)(?:vendor|third[_-]?party|3rd-?party|node_modules|bower_components|godeps|external|externals|extern|deps|submodules|subprojects|pods|carthage|site-packages|vendored|contrib/upstream-[^/]+|upstream-[^/]+|__generated__|generated|zz_generated|gen|codegen|autogen|generated-sources|generated/sources)/",
@@ -61,15 +71,34 @@ def path_of(url: str | None, context_path: str | None) -> str:
     return (m[1] if m else context_path or "").replace("\\", "/")
 
 
+def _says(line: str) -> bool:
+    """Whether a comment is a notice."""
+    return bool(_HEADER.search(_QUOTED.sub(" ", line))) and not _HAND.search(line)
+
+
+def _edge(lines: list[str]) -> Iterator[str]:
+    """The comments that ``lines`` begin with, up to the first code."""
+    inside = False
+    for line in lines:
+        if not inside and line.strip() and not _COMMENT.match(line):
+            return
+        opened, closed = line.rfind("/*"), line.rfind("*/")
+        inside = opened > closed or inside and closed < 0
+        yield line
+
+
 def header_notice(text: str) -> bool:
-    """Whether the head of a text says that a tool, a packer or another project made it."""
-    head = text[:HEAD]
-    if _PACKED.match(head):
+    """Whether comments at the head or the end of a text, however many there are, say that a tool, a
+    packer or another project made it."""
+    if _PACKED.match(text):
         return True
-    for line in re.split(r"[\r\n]+", head)[:12]:
-        if _COMMENT.match(line) and _HEADER.search(line) and not _HAND.search(line):
-            return True
-    return False
+    lines = re.split(r"\r\n|\r|\n", text)
+    tail = []
+    for line in reversed(lines):
+        if line.strip() and not _COMMENT.match(line):
+            break
+        tail.append(line)
+    return any(map(_says, _edge(lines))) or any(map(_says, tail))
 
 
 def path_notice(path: str) -> bool:
@@ -91,7 +120,7 @@ def _facts(key: int, text: str | None, context: str | None) -> Iterator[tuple]:
             path = m[1]
     text = text or ""
     notice = header_notice(text)
-    kept = [x for x in text.splitlines() if not (_COMMENT.match(x) and (_HEADER.search(x) or "/*!" in x))]
+    kept = [x for x in text.splitlines() if not (_HEADER.search(x) or "/*!" in x)]
     body = "\n".join(kept)
     tokens = Counter(_TOKEN.findall(body))
     n = sum(tokens.values())
@@ -125,17 +154,23 @@ def _facts(key: int, text: str | None, context: str | None) -> Iterator[tuple]:
 _SUMS = ("chars", "bytes", "packed", "entropy", "tokens", "idents", "ident_chars", "short_idents", "lines", "comments", "digits", "blanks", "literals", "quotes")
 _DDL = "artifact_id long, c_repo string, c_path string, header boolean, chars double, bytes double, packed double, entropy double, tokens double, idents double, ident_chars double, short_idents double, lines double, comments double, widest double, digits double, blanks double, literals double, quotes double"
 #: Inputs of the forest.
-FEATURES = ("ratio", "token_entropy", "ident_length", "short_share", "comment_share", "line_length", "widest_line", "digit_share", "blank_share", "token_length", "ident_share", "quote_share")
+LOOKS = ("ratio", "token_entropy", "ident_length", "short_share", "comment_share", "line_length", "widest_line", "digit_share", "blank_share", "token_length", "ident_share", "quote_share", "literal_share")
+ORIGIN = ("folder", "name", "foreign")
 
 
 def _share(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
 
+def _repository(url: str) -> Column:
+    """The repository that the URL of a file names; '' if none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?:\w+://)?(?:[^/@]*@)?[^/]+/(.+?)/(?:-/)?(?:blob|raw|tree|src)/", 1)), r"\.git$", "")
+
+
 def features(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row for each row of ``files`` (id, source_url, repo, language): FEATURES, the notices
-    header, path, foreign and data, and ``notice`` for any of them. ``chunks``: artifact_id, text,
-    context_json. Of the texts only sums are shuffled."""
+    """One row for each row of ``files`` (id, source_url, repo, language): LOOKS and ORIGIN, header
+    (a comment is a notice), data (one literal), config, and ``notice`` for any label. ``chunks``:
+    artifact_id, text, context_json. Of the texts only sums are shuffled."""
     facts = flat_map(chunks.select(F.col("artifact_id").cast("long"), "text", "context_json"), _facts, _DDL)
     sums = facts.groupBy("artifact_id").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("widest").alias("widest"), F.max("header").alias("header"), F.min("c_repo").alias("c_repo"), F.max("c_repo").alias("c_repo2"), F.min("c_path").alias("c_path"))
     path_of_file = F.when(F.col("source_url").rlike("/(?:blob|raw|tree|src)/[^/]+/"), F.regexp_extract("source_url", "/(?:blob|raw|tree|src)/[^/]+/([^?#]*)", 1)).otherwise(F.coalesce("c_path", F.lit("")))
@@ -143,9 +178,12 @@ def features(files: DataFrame, chunks: DataFrame) -> DataFrame:
     path = F.regexp_replace(path_of_file, r"\\+", "/")
     name = F.element_at(F.split(path, "/"), -1)
     short = F.regexp_replace(name, "_[0-9a-z]{2,4}(?=[._-])", "")
+    own, said = F.lower("repo"), _repository("source_url")
+    elsewhere = (said != "") & (said != own) & ~said.endswith(F.concat(F.lit("/"), own))
     flags = {
-        "path": path.rlike(f"(?i){_FOLDER.pattern}") | name.rlike(f"(?i){_NAME.pattern}") | short.rlike(f"(?i){_NAME.pattern}"),
-        "foreign": F.coalesce((F.col("c_repo") != F.col("repo")) | (F.col("c_repo2") != F.col("repo")), F.lit(False)),
+        "folder": path.rlike(f"(?i){_FOLDER.pattern}"),
+        "name": name.rlike(f"(?i){_NAME.pattern}") | short.rlike(f"(?i){_NAME.pattern}"),
+        "foreign": F.coalesce(elsewhere, F.lit(False)) | F.coalesce(F.lower("c_repo") != own, F.lit(False)) | F.coalesce(F.lower("c_repo2") != own, F.lit(False)),
         "data": (F.col("lines") >= 8) & (F.col("literals") >= 0.9 * (F.col("lines") - 2)),
         "header": F.coalesce("header", F.lit(False)),
         "config": F.coalesce(F.lower("language").isin(*CONFIG), F.lit(False)) | path.rlike(r"(?i)\.(?:ya?ml|toml|ini|cfg|conf|properties|env|json|md)$"),
@@ -165,9 +203,10 @@ def features(files: DataFrame, chunks: DataFrame) -> DataFrame:
         _share("chars", "tokens").alias("token_length"),
         _share("idents", "tokens").alias("ident_share"),
         _share("quotes", "chars").alias("quote_share"),
+        _share("literals", "lines").alias("literal_share"),
         F.col("chars"),
     )
-    return rows.withColumn("notice", (F.col("header") | F.col("path") | F.col("foreign") | F.col("data")) & ~F.col("config"))
+    return rows.withColumn("notice", (F.col("header") | F.col("folder") | F.col("name") | F.col("foreign") | F.col("data")) & ~F.col("config"))
 
 
 def _score(model, rows: DataFrame, name: str) -> DataFrame:
@@ -175,20 +214,34 @@ def _score(model, rows: DataFrame, name: str) -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def _both(rows: DataFrame) -> bool:
+    return rows.select("label").distinct().count() == 2
+
+
 def judge(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """``rows`` of features with ``score`` of the forest and ``found``. Where there are no labels of
     both kinds the notices alone decide."""
-    vectors = durable(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows.filter("not config and chars > 0").withColumn("label", F.col("notice").cast("double"))), "vectors")
+    rows = durable(rows, "features")
+    inputs = [F.col(c).cast("double").alias(c) for c in (*LOOKS, *ORIGIN)]
+    vectors = rows.filter("not config").select("id", F.col("notice").cast("double").alias("label"), (F.col("header") | F.col("name") | F.col("data")).alias("made"), *inputs)
+    for name, columns in (("looks", LOOKS), ("all", (*LOOKS, *ORIGIN))):
+        vectors = VectorAssembler(inputCols=list(columns), outputCol=name).transform(vectors)
+    vectors = vectors.select("id", "label", "made", "looks", "all")
     total = vectors.count()
-    part = vectors if total <= sample else vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=0.8)
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(PLACES))
+    part = durable(vectors if total <= sample else vectors.filter(place < int(PLACES * sample / total)), "sample")
+    forest = lambda column: RandomForestClassifier(featuresCol=column, labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.5" if column == "all" else "auto")
     scored = None
-    if part.select("label").distinct().count() == 2:
-        first = _score(forest.fit(part), part, "p")
-        clean = first.filter("label = 1 and p >= 0.5 or label = 0 and p < 0.25").drop("p")
-        if clean.select("label").distinct().count() == 2:
-            scored = _score(forest.fit(clean), vectors, "score").select("id", "score")
+    if _both(part):
+        scored = _score(forest("all").fit(part), vectors, "score")
+        seen = part.filter("made or label = 0")
+        if _both(seen):
+            first = _score(forest("looks").fit(seen), seen, "p")
+            clean = first.filter("label = 1 and p >= 0.5 or label = 0 and p < 0.25").drop("p")
+            if _both(clean):
+                scored = _score(forest("looks").fit(clean), scored, "by_looks").withColumn("score", F.greatest("score", "by_looks"))
+        scored = scored.select("id", "score")
     if scored is None:
         return rows.withColumn("score", F.lit(0.0)).withColumn("found", F.col("notice"))
     joined = rows.join(scored, "id", "left").fillna(0.0, ["score"])
-    return joined.withColumn("found", (F.col("notice") | (F.col("score") >= SCORE)) & ~F.col("config"))
+    return joined.withColumn("found", ((F.col("score") >= SCORE) | F.col("header")) & ~F.col("config"))

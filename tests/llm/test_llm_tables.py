@@ -30,6 +30,12 @@ def _files(spark):
     put(105, "conf/x.yaml", "# generated by tool\na: 1\n", language="yaml")
     put(106, None, [None, ""], ctx="{cut")
     put(107, "src/data.py", "ROWS = [\n" + "".join(f"    [{k}, 1.5, \"x\"],\n" for k in range(40)) + "]\n")
+    for k in range(12):  # the forest decides, so each kind must occur more than once
+        put(200 + k, f"third_party/x/y{k}.py", like())
+        put(220 + k, f"src/i{k}.py", like(), ctx=f'{{"repo":"other/lib","path":"src/i{k}.py"}}')
+        put(240 + k, f"src/data{k}.py", "ROWS = [\n" + "".join(f"    [{j}, {k}.5, \"x\"],\n" for j in range(40)) + "]\n")
+        put(260 + k, f"src/u{k}.py", like())
+        files[-1] = (260 + k, f"https://git@h.example/far/lib/blob/abc/src/u{k}.py", "me/app", "python")
     files.append((108, None, None, None))
     return spark.createDataFrame([(*f, 1) for f in files], "id long, source_url string, repo string, language string, score int"), spark.createDataFrame(chunks, "artifact_id long, text string, context_json string")
 
@@ -38,12 +44,18 @@ def test_written_by_hand_or_not(spark):
     files, chunks = _files(spark)
     rows = {r.id: r for r in generated.judge(generated.features(files.drop("score"), chunks)).collect()}
     assert len(rows) == files.count()
-    assert {k for k, r in rows.items() if r.found} == {*range(60, 80), 100, 101, 104, 107}
+    assert {k for k, r in rows.items() if r.found} == {*range(60, 80), 100, 101, 104, 107, *(k + j for k in (200, 220, 240, 260) for j in range(12))}
     assert all(rows[k].score > 0.5 and not rows[k].notice for k in range(75, 80))
+    assert all(rows[k].score > 0.5 for k in range(60, 75)) and rows[100].header and not rows[101].header
     assert generated.judge(generated.features(files.limit(0), chunks.limit(0))).count() == 0
 
 
 def test_paths_and_heads():
+    licence = "".join(f"// Line {k} of a licence that is long enough to hide what follows it in any file.\n" for k in range(30))
+    assert generated.header_notice(licence + "//\n// Code generated by x. DO NOT EDIT.\npackage a\n")
+    assert generated.header_notice("/*\n" + "words of a licence\n" * 40 + "Vendored copy of a/b\n*/\nint x;\n")
+    assert generated.header_notice("int x;\n" * 50 + "// Copied unchanged from a/b\n\n") and not generated.header_notice("int x;\n// Copied unchanged from a/b\nint y;\n")
+    assert not generated.header_notice('# Puts the "do not edit" banner in front.\nx = 1\n') and not generated.header_notice("")
     assert generated.path_of("https://h/r/blob/ab/a\\b.py?x=1", None) == "a/b.py" and generated.path_of(None, "c") == "c" and generated.path_of(None, None) == ""
     assert [generated.path_notice(p) for p in ("a/__generated__/x.go", "lib/x_1a.pb.go", "web/y_2b-min.js", "src/generator/z.py", "lib/distance/a.py", "m_3c_pb2.py", "")] == [True, True, True, False, False, True, False]
 
