@@ -1,11 +1,14 @@
 """Problem 5: live credentials in code, configuration, prose and URLs, found and masked.
 
 A text is read by a set of recognisers (key blocks, vendor tokens, user parts and parameters of
-URLs, headers, assignments, command lines, notes in prose). Literals that decode as base64, hex,
-percent signs or backslash escapes are decoded and read again, down to DEPTH layers; what is found
-in a layer masks the enclosing literal as a whole. Blocks of private keys are decoded and their
-binary grammar is read (DER, or the container of OpenSSH); a block whose body is no such container
-is a key all the same when it is long enough.
+URLs, headers, assignments, command lines, notes in prose). Each is left out where the words that
+it cannot do without are absent (GUARDS). Literals that decode as base64, hex, percent signs or
+backslash escapes are decoded and read again, layer by layer until nothing decodes any more (each
+layer is shorter than the one around it); what is found in a layer masks the enclosing literal as a
+whole. Containers of keys are read by their binary grammar (DER: PKCS#8, also encrypted, PKCS#1,
+SEC1, DSA; OpenSSH), in blocks with BEGIN lines, in literals without them, and in decoded bytes. A
+block that holds a public key or a certificate is none; one that is no container at all (encrypted
+in the old form, cut off or altered) counts when its body is as random as a key.
 
 Defined results: null and empty texts hold nothing. Spans are in characters of the text; lines
 count from 1 and end at a line feed. Masking keeps all but the values, so quotes, separators and
@@ -27,10 +30,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrow import flat_map
 
-#: Layers of encoding that are opened, and what stands in place of a value.
-DEPTH, MASK = 3, "[REDACTED]"
-#: Characters above which an assigned value is data and no credential, unless it is a key's container.
-LONGEST = 512
+#: What stands in place of a value, and bits of a character that a key's body has at least.
+MASK, KEY_ENTROPY = "[REDACTED]", 4.0
 
 #: Names that hold a credential, as the last words of an identifier.
 _NAME = (
@@ -40,9 +41,10 @@ _NAME = (
 )
 _STR = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`"
 _ASSIGN = re.compile(rf"(?P<q>[\"']?)(?<![\w.])(?P<name>{_NAME})(?P=q)(?:\s*:\s*[\w<>&']+)?\s*(?::=|=>|=(?!=)|:(?!:))\s*(?P<open>[\[(]\s*)?(?P<value>{_STR}|[^\s\"'`,;)\]}}>#]+)", re.I)
-_FOLDED = re.compile(rf"^[ \t]*[\"']?(?P<name>{_NAME})[\"']?\s*:\s*[>|][-+]?[ \t]*\r?\n(?P<value>(?:[ \t]+\S+[ \t]*(?:\r?\n|$)){{1,4}})", re.I | re.M)
+_FOLDED = re.compile(rf"^[ \t]*[\"']?(?P<name>{_NAME})[\"']?\s*:\s*[>|][-+]?[ \t]*\r?\n(?P<value>(?:[ \t]+\S+[ \t]*(?:\r?\n|$))+)", re.I | re.M)
 _MORE = re.compile(rf"\s*(?:[+,.]\s*)?(?P<value>{_STR})")
 _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_BODY_LINE = re.compile(r"[\s\"'`#*>|,+;()]*(?:[A-Za-z0-9+/=]|\\[nr])*[\s\"'`\\,+;()]*|[\s#*>|]*[\w-]+: [^\n]*")
 _VENDOR = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{20,}|AIza[\w-]{30,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}"
     r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|[a-z]{2,8}[_.-](?:live|prod|test|pat|sk|secret|key|token|api)[_.-][A-Za-z0-9]{20,}|(?:sk|pk|rk)[_-](?:live|prod)[_-][A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{32,})(?![A-Za-z0-9])"
@@ -54,9 +56,23 @@ _KEYWORD = re.compile(r"(?:;|^|[\"'])\s*(?:pwd|password|accountkey|sharedaccessk
 _COMMAND = re.compile(r"\bsshpass\s+-p\s*(?P<a>'[^']+'|\"[^\"]+\"|\S+)|\bcurl\b[^\n]*?\s(?:-u|--user)\s+(?P<c>'[^']+'|\"[^\"]+\"|\S+)|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<n>\S+)|\b(?:mysql|psql|mysqldump)\b[^\n]*?\s(?:-p|--password=)(?P<m>'[^']+'|\"[^\"]+\"|[^\s'\"-]\S+)")
 _NPM = re.compile(r":_(?:authToken|auth|password)=(?P<value>[^\s\"']+)")
 _PROSE = re.compile(r"\b(?:password|passwd|pwd|pw|passphrase|pass|secret|token|api key|access key|credentials?)\b(?:\s+for\s+[\w.-]+|\s+of\s+[\w.-]+)?\s*(?:is|was|:|=|->|are)?\s*(?P<q>[\"'`]?)(?P<value>[^\s\"'`(){}]{6,})(?P=q)|\blog ?in\b[^\n]{0,40}?\b(?:is|as|with|:)\s+\S+\s*(?:/|with|and)\s*(?P<login>\S{6,})", re.I)
-#: What a text with a credential has one of: these, or a long literal.
-_TELLING = ("token", "pass", "key", "secret", "pwd", "auth", "pw:", "pw ", "bearer", "basic ", "login", "private", "credential", "dsn", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat", "xox", "eyj", "aiza", "npm_", "pypi-", "live", "_prod", "-prod", ".prod", "-sk-", "_sk_", ".sk.", "sk-", ".pat.", "_pat_", "-pat-", "sig=", "signature=", "\\x", "\\u")
-_LONG = re.compile(r"[A-Za-z0-9+/]{24}|%[0-9A-Fa-f]{2}[\w.~-]*%[0-9A-Fa-f]{2}|://[^\s/]*@|[_.-](?:test|api)[_.-][A-Za-z0-9]{20}")
+#: Words of which a text must hold one (in folded case) for a recogniser to find anything in it; they
+#: follow from the patterns above. A tuple within is a set of words that are needed together.
+_NAMES = ("pass", "pwd", "secret", "key", "token", "auth", "credential", "bearer", "dsn", "connection")
+GUARDS = {
+    "block": ("private key",),
+    "url": (("://", "@"),),
+    "param": (("?", "="), ("&", "="), (";", "=")),
+    "header": ("authorization", "bearer", "basic", "x-"),
+    "keyword": (("=", "pwd"), ("=", "password"), ("=", "accountkey"), ("=", "sharedaccesskey"), ("=", "secret")),
+    "command": ("sshpass", "curl", "machine", "mysql", "psql"),
+    "npm": (":_",),
+    "assign": tuple((name, sign) for name in _NAMES for sign in ("=", ":")),
+    "folded": tuple((name, sign) for name in _NAMES for sign in ("|", ">")),
+    "prose": ("pass", "pwd", "pw", "secret", "token", "api key", "access key", "credential", "login", "log in"),
+}
+_WORDS = sorted({w for ways in GUARDS.values() for way in ways for w in ([way] if isinstance(way, str) else way)})
+_RUN = re.compile(r"[\w-]{20}|eyJ")
 _LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_%\\-])(?:(?P<b64>[A-Za-z0-9+/_-]{20,}={0,2})|(?P<pct>[\w.~-]*(?:%[0-9A-Fa-f]{2}[\w.~-]*){6,})|(?P<esc>(?:[^\s\"'\\]*\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})){6,}[^\s\"'\\]*))(?![A-Za-z0-9+/=])")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
@@ -99,24 +115,22 @@ def live(value: str) -> bool:
 
 
 def container(body: str) -> str:
-    """What a key block's body is by its binary grammar: der, openssh or opaque; '' if it is no
-    base64 of some length."""
+    """What a key block's body is by its binary grammar: private, public (or a certificate), opaque
+    (of no container, but as random as a key), or '' for anything else."""
     text = re.sub(r"\s+|\\[nr]|^[\w-]+:.*$", "", body, flags=re.M)
     text = re.sub(r"[^A-Za-z0-9+/=]", "", text)
     if len(text) < 40:
         return ""
     try:
-        data = base64.b64decode(text + "=" * (-len(text) % 4))
+        data = base64.b64decode(text.rstrip("=") + "=" * (-len(text.rstrip("=")) % 4))
     except (binascii.Error, ValueError):
-        return "opaque"
-    if data.startswith(b"openssh-key-v1\0"):
-        return "openssh"
-    if data[:1] == b"\x30" and len(data) > 4:
-        size = data[1]
-        long = size & 0x80 and int.from_bytes(data[2 : 2 + (size & 0x7F)], "big") + 2 + (size & 0x7F) or size + 2
-        if long <= len(data) + 2:
-            return "der"
-    return "opaque"
+        data = b""
+    if private_container(data):
+        return "private"
+    whole = _der(data) if data[:1] == b"\x30" else None
+    if whole and len(whole) == 1 and whole[0][0] == 0x30 and _der(whole[0][1]):
+        return "public"
+    return "opaque" if entropy(text) >= KEY_ENTROPY else ""
 
 
 def _der(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -169,14 +183,23 @@ def key_literal(value: str) -> bool:
         return False
 
 
+def _body_end(text: str, at: int) -> int:
+    """Where the lines end that may be of a key's body which no END line closes."""
+    while True:
+        stop = text.find("\n", at)
+        line = text[at : stop if stop >= 0 else len(text)]
+        if not _BODY_LINE.fullmatch(line):
+            return at
+        if stop < 0:
+            return len(text)
+        at = stop + 1
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _BLOCK.finditer(text):
         end = text.find(f"-----END {m[1]}-----", m.end())
-        body = text[m.end() : end if end >= 0 else m.end() + 8192]
-        if end < 0:
-            lines = re.match(r"(?:\s*[\w+/=\"'\\ ,#*>|-]{0,90}(?:\r?\n|$))*", body)
-            body = lines[0] if lines else ""
-        if (kind := container(body)) and "..." not in body[:80]:
+        body = text[m.end() : end if end >= 0 else _body_end(text, m.end())]
+        if (kind := container(body)) in ("private", "opaque") and "..." not in body[:80]:
             yield m.start(), m.end() + len(body) + (len(m[1]) + 14 if end >= 0 else 0), f"private key ({kind})"
 
 
@@ -213,9 +236,12 @@ def _assignments(text: str) -> Iterator[tuple[int, int, str]]:
             whole, at = whole + piece, more.end()
         if _URL.search(value) or re.search(r"\bPwd=|\bpassword=", value, re.I) or re.match(r"(?:bearer|basic)\s", value, re.I) or value.startswith("-----"):
             continue
-        if live(whole) and len(whole) <= LONGEST or key_literal(whole):
+        if live(whole) or key_literal(whole):
             for c, d in spans:
                 yield c, d, "assignment" if c == a else "continued"
+
+
+def _folded(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _FOLDED.finditer(text):
         pieces = list(re.finditer(r"\S+", m["value"]))
         if live("".join(p[0] for p in pieces)):
@@ -223,21 +249,28 @@ def _assignments(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start("value") + p.start(), m.start("value") + p.end(), "assignment" if p is pieces[0] else "continued"
 
 
-def _plain(text: str) -> Iterator[tuple[int, int, str]]:
-    """Spans of values that the recognisers see in ``text`` as it stands."""
-    yield from _blocks(text)
+def _vendor(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _VENDOR.finditer(text):
         if not placeholder(m[0]) and entropy(m[0]) > 2.5:
             yield m.start(), m.end(), "vendor token"
+
+
+def _urls(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _URL.finditer(text):
         user, word = m["user"] or "", m["pass"]
         if word is not None and not placeholder(unquote(word)) and not _REFERENCE.search(word) and (len(word) >= 6 and re.search(r"\d|[^\w]", word) or random_like(word)):
             yield m.start("pass"), m.end("pass"), "URL password"
         elif word in (None, "", "x-oauth-basic") and random_like(user) and re.search(r"[0-9a-f]{32,}|[A-Za-z0-9_-]{20,}", user):
             yield m.start("user"), m.end("user"), "URL token"
+
+
+def _params(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _PARAM.finditer(text):
         if live(unquote(m["value"])):
             yield m.start("value"), m.end("value"), "URL parameter"
+
+
+def _headers(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _HEADER.finditer(text):
         for group in ("value", "bearer", "basic", "x"):
             if (value := m[group]) is None:
@@ -247,9 +280,15 @@ def _plain(text: str) -> Iterator[tuple[int, int, str]]:
                     yield m.start(group), m.end(group), "basic header"
             elif random_like(value) and not placeholder(value) and not _REFERENCE.search(value + " "):
                 yield m.start(group), m.end(group), "header"
+
+
+def _keywords(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _KEYWORD.finditer(text):
         if password_like(m["value"]) and not placeholder(m["value"]):
             yield m.start("value"), m.end("value"), "connection string"
+
+
+def _commands(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _COMMAND.finditer(text):
         for group in "acnm":
             if m[group]:
@@ -260,10 +299,15 @@ def _plain(text: str) -> Iterator[tuple[int, int, str]]:
                     a, value = a + value.index(":") + 1, value.partition(":")[2]
                 if password_like(value) and not placeholder(value):
                     yield a, b, "command"
+
+
+def _registry(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _NPM.finditer(text):
         if live(m["value"]):
             yield m.start("value"), m.end("value"), "registry token"
-    yield from _assignments(text)
+
+
+def _prose(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _PROSE.finditer(text):
         group = "value" if m["value"] else "login"
         value = m[group].rstrip(".,;:)")
@@ -271,6 +315,20 @@ def _plain(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(group), m.start(group) + len(value), "prose"
 
 
+_RECOGNISERS = (("block", _blocks), ("url", _urls), ("param", _params), ("header", _headers), ("keyword", _keywords), ("command", _commands), ("npm", _registry), ("assign", _assignments), ("folded", _folded), ("prose", _prose))
+
+
+def _plain(text: str, guarded: bool = True) -> Iterator[tuple[int, int, str]]:
+    """Spans of values that the recognisers see in ``text`` as it stands."""
+    low = text.casefold()
+    held = {w for w in _WORDS if w in low} if guarded else set(_WORDS)
+    if not guarded or _RUN.search(text):
+        yield from _vendor(text)
+    for name, recogniser in _RECOGNISERS:
+        if any(way in held if isinstance(way, str) else all(w in held for w in way) for way in GUARDS[name]):
+            yield from recogniser(text)
+
+
 def _printable(data: bytes) -> str | None:
     try:
         text = data.decode("utf-8")
@@ -286,13 +344,19 @@ def _base64(value: str) -> str | None:
         return None
 
 
-def _decoded(m: re.Match) -> Iterator[str]:
+def _decoded(m: re.Match) -> Iterator[str | bytes]:
+    """What a literal decodes to: texts, and bytes that are no text."""
     value = m[0]
     if m["b64"]:
-        if _HEX.fullmatch(value) and (inner := _printable(bytes.fromhex(value))):
-            yield inner
-        if inner := _base64(value):
-            yield inner
+        if _HEX.fullmatch(value):
+            data = bytes.fromhex(value)
+            yield _printable(data) or data
+        try:
+            bare = value.rstrip("=").translate({45: 43, 95: 47})
+            data = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return
+        yield _printable(data) or data
     elif m["pct"]:
         if (inner := unquote(value)) != value:
             yield inner
@@ -303,20 +367,27 @@ def _decoded(m: re.Match) -> Iterator[str]:
             return
 
 
-def find(text: str | None, depth: int = DEPTH) -> list[tuple[int, int, str]]:
+def _holds(m: re.Match) -> bool:
+    """Whether a literal holds a credential in some layer. Each layer is shorter than the last."""
+    open_ = list(_decoded(m))
+    while open_:
+        inner = open_.pop()
+        if isinstance(inner, bytes):
+            if private_container(inner):
+                return True
+        elif next(_plain(inner), None):
+            return True
+        else:
+            open_ += [x for m in _LITERAL.finditer(inner) for x in _decoded(m)]
+    return False
+
+
+def find(text: str | None, guarded: bool = True) -> list[tuple[int, int, str]]:
     """Spans (begin, end, kind) of the credentials of a text, in order, none within another."""
     if not text:
         return []
-    low = text.lower()
-    if not any(word in low for word in _TELLING) and not _LONG.search(text):
-        return []
-    spans = list(_plain(text))
-    spans += [(m.start(), m.end(), "encoded") for m in _LITERAL.finditer(text) if m["b64"] and key_literal(m[0])]
-    if depth:
-        for m in _LITERAL.finditer(text):
-            for inner in _decoded(m):
-                if find(inner, depth - 1):
-                    spans.append((m.start(), m.end(), "encoded"))
+    spans = list(_plain(text, guarded))
+    spans += [(m.start(), m.end(), "encoded") for m in _LITERAL.finditer(text) if _holds(m)]
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
