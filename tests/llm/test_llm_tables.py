@@ -164,6 +164,8 @@ def test_mix_meets_its_shares(spark):
     assert all(abs(rows[s].actual_share - g) < 0.004 for s, g in goal.items())
     copies = taken.collect()
     assert all(1 <= r.copies <= {"file": 1, "note": 3, "pr": 4}[r.source] for r in copies) and not {r.doc_id for r in copies} & {3000, 3001, *range(2000, 2040)}
+    assert all(r.steps > 0 and 0 <= r.least_rate <= r.most_rate <= r.max_repeats for r in rows.values())
+    assert sum(r.expected_share for r in rows.values()) == pytest.approx(1, abs=1e-4)
     assert {r.source: r.actual_share for r in mix.mix(d, shares)[1].collect()}["absent"] == 0
     soft = mix.mix(d, shares.filter("source <> 'absent'"), soft=True)[0].filter("source is null")
     assert soft.count() > 0 and soft.agg(F.max("copies")).first()[0] <= 3
@@ -171,6 +173,20 @@ def test_mix_meets_its_shares(spark):
     assert empty.count() == 0 and none.count() == 4
 
 
+def test_rates_are_those_of_documents(spark):
+    """Notes that read like files get another rate than plain notes, and sources still meet their targets."""
+    rng = random.Random(3)
+    words = {s: [f"{s}{k}" for k in range(30)] for s in ("file", "note")}
+    docs = [(k, " ".join(rng.choices(words["file" if k % 4 < 2 or k % 16 == 3 else "note"], k=30)), "file" if k % 4 < 2 else "note") for k in range(1600)]
+    shares = spark.createDataFrame([("file", 0.4, 2), ("note", 0.6, 3)], "source string, target_share double, max_repeats int")
+    taken, report = mix.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), shares)
+    rows = {r.source: r for r in report.collect()}
+    assert abs(rows["file"].actual_share - 0.4) < 0.005 and abs(rows["note"].actual_share - 0.6) < 0.005
+    assert rows["note"].most_rate > rows["note"].least_rate and rows["note"].steps > 1
+    hard = {r.source: r.n for r in taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    assert hard["file"] / sum(hard.values()) == pytest.approx(rows["file"].actual_share, abs=1e-4)
+
+
 def test_soft_shares_hold_all_tokens(spark):
     docs = [(k, f"{s} {s}x {s}y word{k}", s) for k in range(60) for s in [("file", "note")[k % 2]]] + [(100 + k, "note notex notey", None) for k in range(20)]
     shares = spark.createDataFrame([("file", 0.5, 1), ("note", 0.5, 2)], "source string, target_share double, max_repeats int")
