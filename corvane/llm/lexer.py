@@ -1,6 +1,10 @@
 """A lexer for source text that gives one token for each line: what the line is, its indent, how it
 changes the depth of brackets, and the name of the definition that begins in it. Strings and
-comments are told from code first, so nothing within them counts."""
+comments are told from code first, so nothing within them counts.
+
+Languages with definitions of their own: those of _DEF and the script languages of _JS. A text in
+another language, or in none that is named, is read as the first one whose definitions it seems to
+hold, else as script."""
 
 from __future__ import annotations
 
@@ -11,11 +15,28 @@ from collections.abc import Iterator
 _PY = re.compile(r"(?P<c>#[^\r\n]*)|(?P<s>[rbfuRBFU]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)|\"(?:[^\"\\\r\n]|\\[\s\S])*\"?|'(?:[^'\\\r\n]|\\[\s\S])*'?))")
 _C = re.compile(r"(?P<c>//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<s>\"(?:[^\"\\\r\n]|\\[\s\S])*\"?|'(?:[^'\\\r\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*(?:`|\Z))")
 _RUST = re.compile(r"(?P<c>//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<s>b?r(?P<h>#*)\"[\s\S]*?(?:\"(?P=h)|\Z)|b?\"(?:[^\"\\]|\\[\s\S])*(?:\"|\Z)|b?'(?:[^'\\\r\n]|\\[^\r\n]{1,8}?)')")
-_FAMILY = {"python": _PY, "shell": _PY, "ruby": _PY, "yaml": _PY, "toml": _PY, "rust": _RUST}
+_SCALA = re.compile(r"(?P<c>//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<s>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|\"(?:[^\"\\\r\n]|\\[\s\S])*\"?|'(?:[^'\\\r\n]|\\[^\r\n]{1,5}?)')")
+_FAMILY = {"python": _PY, "shell": _PY, "ruby": _PY, "yaml": _PY, "toml": _PY, "rust": _RUST, "scala": _SCALA, "kotlin": _SCALA, "swift": _SCALA}
+#: Languages whose definitions end by their indent.
+LAYOUT = ("python", "ruby")
+_NO = r"(?!(?:if|for|while|switch|catch|return|new|else|throw|do|try|synchronized|sizeof|using|lock|foreach|case|delete)\b)"
+_TYPED = re.compile(
+    rf"\s*(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|virtual|override|async|inline|extern|constexpr|explicit|friend|unsafe|partial|sealed|const|unsigned|signed|struct|enum)\s+)*"
+    rf"(?:<[^>]*>\s*)?{_NO}(?:[\w$:]+(?:<[^()]*>)?(?:\s*\[\])*[\s*&]+)?{_NO}(?:[\w$]+::)*(?P<n>~?[^\W\d][\w$]*)\s*\((?:[^()]|\([^()]*\))*(?:\)\s*(?:const\b|noexcept\b|override\b|final\b|throws\s+[\w., ]+|where\s+[^{{]+)*\s*(?:\{{.*|=>.*)?)?$"
+)
 _DEF = {
     "python": re.compile(r"\s*(?:async\s+)?def\s+(?P<n>[^\W\d]\w*)"),
     "go": re.compile(r"\s*func\s*(?:\([^)]*\)\s*)?(?P<n>[^\W\d]\w*)\s*[\[(]"),
     "rust": re.compile(r"\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\S+)?)\s+)*fn\s+(?P<n>[^\W\d]\w*)"),
+    "scala": re.compile(r"\s*(?:(?:override|private|protected|final|implicit|inline|lazy|abstract|sealed)(?:\[\w+\])?\s+)*def\s+(?P<n>[^\W\d][\w$]*|`[^`]+`)"),
+    "kotlin": re.compile(r"\s*(?:(?:public|private|protected|internal|override|open|abstract|final|inline|suspend|operator|infix|tailrec|external)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<n>[^\W\d]\w*)\s*\("),
+    "swift": re.compile(r"\s*(?:@\w+\s+)*(?:(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|convenience|required)\s+)*(?:func\s+(?P<n>[^\W\d]\w*)|(?P<m>init)\s*[?(])"),
+    "php": re.compile(r"\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(?P<n>[^\W\d]\w*)\s*\("),
+    "ruby": re.compile(r"\s*def\s+(?:self\.)?(?P<n>[^\W\d]\w*[?!=]?)"),
+    "java": _TYPED,
+    "c": _TYPED,
+    "cpp": _TYPED,
+    "csharp": _TYPED,
     "shell": re.compile(r"\s*(?:function\s+(?P<n>[\w-]+)|(?P<m>[\w-]+)\s*\(\))\s*(?:\(\))?\s*\{?"),
 }
 _JS = re.compile(
@@ -32,7 +53,7 @@ _MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|//[/!]?|#+!?)|\*+/[ \t]*$")
 def language_of(language: str | None, text: str) -> str:
     """The language to lex ``text`` as: the one given, else by the first definition that fits."""
     name = (language or "").strip().lower()
-    if name in ("python", "go", "rust", "javascript", "typescript", "shell", "yaml", "toml", "ruby", "java", "scala", "c", "cpp", "jsx", "tsx"):
+    if name in _DEF or name in ("javascript", "typescript", "jsx", "tsx", "yaml", "toml"):
         return name
     for guess, sign in (("python", r"(?m)^\s*(?:async )?def \w+\(.*:?\s*$"), ("go", r"(?m)^func "), ("rust", r"(?m)^\s*(?:pub )?fn "), ("typescript", r"(?m)^\s*(?:export )?(?:async )?(?:function|const) ")):
         if re.search(sign, text):
@@ -50,11 +71,18 @@ def unquoted(literal: str) -> str:
     return re.sub(r"^[rbfuRBFU]{0,2}(?:\"\"\"|'''|[\"'`])|(?:\"\"\"|'''|[\"'`])$", "", literal).strip()
 
 
+def whole(bare: str) -> bool:
+    """Whether a definition that begins in a line also ends in it: by its braces or a semicolon."""
+    code = bare.rstrip()
+    opens, closes = len(_OPEN.findall(code)), len(_CLOSE.findall(code))
+    return opens == closes and (code.endswith((";", "}", "};", "},")) or bool(re.search(r"=>?\s*[^{(\s][^{]*$|\{[^{}]*\}\s*$", code)))
+
+
 def lines(text: str | None, language: str | None) -> Iterator[tuple[int, str, int, int, str | None, str | None]]:
     """(line, kind, indent, depth change, symbol, text) of each line, from 1. Kinds: blank, comment,
     attr (decorators and attributes), def, class, doc (a string that is a statement; its text
-    stands in the first line, the others are inner), inner and code. The text of a def is a string
-    that stands as its whole body in the same line."""
+    stands in the first line, the others are inner), inner and code; ``whole`` is a def that ends in
+    its own line. The text of a def is a string that stands as its whole body in the same line."""
     if not text:
         return
     lang = language_of(language, text)
@@ -108,7 +136,7 @@ def lines(text: str | None, language: str | None) -> Iterator[tuple[int, str, in
             inline = None
             if lang == "python" and (tail := re.search(r":\s*(?=[rbfuRBFU]{0,2}\"_*\"\s*$)", bare)) and si < len(strings):
                 inline = next((unquoted(text[x:y]) for x, y in strings[si:] if x >= a + tail.start() and x < b), None)
-            yield number, "def", indent, delta, next(v for v in m.groupdict().values() if v), inline
+            yield number, "whole" if lang not in LAYOUT and whole(bare) else "def", indent, delta, next(v for v in m.groupdict().values() if v).strip("`"), inline
         elif not within and _CLASS.match(bare):
             yield number, "class", indent, delta, None, None
         elif lang == "python" and not within and si < len(strings) and code[a : strings[si][0]].strip() == "" and strings[si][0] < b and re.fullmatch(r"[rbfuRBFU]{0,2}\"[_\s]*\"?;?", code[a : min(b, strings[si][1])].strip()):

@@ -65,9 +65,9 @@ def p3_regions(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-def _functions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _functions(spark: SparkSession, d: str, ends: bool = False) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, d, "chunk", True).filter(F.col("kind").isin(*CODE)).select("id", "text", "language", "node_kind", "context_json")
-    return chunks, docpairs.documented(chunks, "id", "text", F.col("language"), F.col("node_kind"), F.get_json_object("context_json", "$.leading_doc"))
+    return chunks, docpairs.documented(chunks, "id", "text", F.col("language"), F.col("node_kind"), F.get_json_object("context_json", "$.leading_doc"), ends=ends)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +75,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    chunks, found = _functions(spark, d)
-    return docpairs.pairs(chunks, "id", "text", found, F.col("language")).withColumnRenamed("id", "chunk_id")
+    chunks, found = _functions(spark, d, True)
+    return docpairs.pairs(chunks, "id", "text", found).withColumnRenamed("id", "chunk_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -285,9 +285,9 @@ JS = "/**\n * Sends all of the rows over.\n * @param {string} row\n */\nexport c
 def test_functions_and_their_documentation(spark):
     rows = [(1, PY, "python", None, None), (2, RS, "rust", None, None), (3, JS, "javascript", None, None), (4, "func (s *A) Keep(x int) error {\n\treturn nil\n}", "go", "method_declaration", "Takes every row that is new."), (5, None, None, None, None), (6, "", "go", None, "x"), (7, "def a():\n  1\n\ndef b():\n  2", "python", None, "Takes every row that is new.")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id long, text string, language string, node_kind string, lead string, line int")
-    found = docpairs.documented(df, "id", "text", F.col("language"), F.col("node_kind"), F.col("lead"))
+    found = docpairs.documented(df, "id", "text", F.col("language"), F.col("node_kind"), F.col("lead"), ends=True)
     assert {(r.id, r.symbol) for r in found.collect()} == {(1, "one"), (1, "two"), (2, "join"), (3, "send"), (4, "Keep")}
-    code = {r.symbol: r.code for r in docpairs.pairs(df, "id", "text", found, F.col("language")).collect()}
+    code = {r.symbol: r.code for r in docpairs.pairs(df, "id", "text", found).collect()}
     assert code["one"].startswith("def one(a,") and code["one"].rstrip().endswith("return a") and code["join"].endswith("\n}") and code["send"].endswith("};")
     assert docpairs.documented(df.limit(0), "id", "text").count() == 0
 
@@ -295,11 +295,36 @@ def test_functions_and_their_documentation(spark):
 def test_lexer_tells_lines():
     kinds = [(k, s) for _, k, _, _, s, _ in lexer.lines(PY, "python")]
     assert kinds[:5] == [("attr", None)] * 3 + [("def", "one"), ("code", None)] and ("def", "inside") not in kinds
-    assert [s for _, k, _, _, s, _ in lexer.lines(RS, "rust") if k == "def"] == ["join", "alone"]
-    assert [s for _, k, _, _, s, _ in lexer.lines(JS, "javascript") if k == "def"] == ["send", "run"]
+    assert [s for _, k, _, _, s, _ in lexer.lines(RS, "rust") if k in ("def", "whole")] == ["join", "alone"]
+    assert [s for _, k, _, _, s, _ in lexer.lines(JS, "javascript") if k in ("def", "whole")] == ["send", "run"]
     assert list(lexer.lines(None, None)) == [] and len(list(lexer.lines("\r\n".join("ab"), None))) == 2
 
 
+MORE = {
+    "java": ("class A {\n  /** Adds the numbers that are given to it. */\n  public static int add(int a, int b) {\n    if (a > 0) {\n      a++;\n    }\n    return a + b;\n  }\n\n  int no() { return 1; }\n}\n", "add", "  public static int add(int a, int b) {\n    if (a > 0) {\n      a++;\n    }\n    return a + b;\n  }"),
+    "c": ("// Adds the numbers that are given to it.\nstatic int *add(const char *a, int b)\n{\n  return b;\n}\nint c;\n", "add", "static int *add(const char *a, int b)\n{\n  return b;\n}"),
+    "cpp": ("/* Adds the numbers that are given to it. */\nint Box::add(std::vector<int> a) const {\n  return 1;\n}\n", "add", "int Box::add(std::vector<int> a) const {\n  return 1;\n}"),
+    "scala": ("object A {\n  // Adds the numbers that are given to it.\n  override def add(a: Int): Int = {\n    a\n  }\n}\n", "add", "  override def add(a: Int): Int = {\n    a\n  }"),
+    "kotlin": ("// Adds the numbers that are given to it.\nfun add(a: Int): Int = a + 1\nfun b() {\n}\n", "add", "fun add(a: Int): Int = a + 1"),
+    "ruby": ("class A\n  # Adds the numbers that are given to it.\n  def add(a)\n    a + 1\n  end\nend\n", "add", "  def add(a)\n    a + 1"),
+    "csharp": ("class A {\n  // Adds the numbers that are given to it.\n  public async Task<int> Add(int a) {\n    return a;\n  }\n}\n", "Add", "  public async Task<int> Add(int a) {\n    return a;\n  }"),
+    "php": ("<?php\n// Puts the numbers that are given there.\nfunction add($a) {\n  return $a;\n}\n", "add", "function add($a) {\n  return $a;\n}"),
+    "swift": ("// Puts the numbers that are given there.\nfunc add(a: Int) -> Int {\n  return a\n}\n", "add", "func add(a: Int) -> Int {\n  return a\n}"),
+    "python": ('def outer():\n    """Says what all of this is really for."""\n    x = """\n  text\n"""\n\n    # inner words\n    return x\n\n\n# Another comment.\ndef b(): pass\n', "outer", 'def outer():\n    """Says what all of this is really for."""\n    x = """\n  text\n"""\n\n    # inner words\n    return x'),
+    "shell": ("# Puts the numbers that are given there.\nadd() {\n  echo 1\n}\n", "add", "add() {\n  echo 1\n}"),
+    "text": ("def last(a):\n    # Not closed by anything that follows.\n    \"\"\"Says what the last of them is for.\"\"\"\n    return a\n\n", "last", "def last(a):\n    # Not closed by anything that follows.\n    \"\"\"Says what the last of them is for.\"\"\"\n    return a"),
+    "go": ("// Keep keeps what it was given by someone.\nfunc Keep(a int) int { return a }\nfunc B() {\n}\n", "Keep", "func Keep(a int) int { return a }"),
+    "typescript": ("/** Declares what the others will do then. */\nfunction f(a: string): void;\nfunction f(a: any): void {\n  run(a);\n}\n", "f", "function f(a: string): void;"),
+}
+
+
+def test_languages_and_ends(spark):
+    df = spark.createDataFrame([(k, text, lang) for k, (lang, (text, _, _)) in enumerate(MORE.items())], "id long, text string, language string")
+    found = docpairs.documented(df, "id", "text", F.col("language"), ends=True)
+    got = {r.id: (r.symbol, r.code) for r in docpairs.pairs(df, "id", "text", found).collect()}
+    assert got == {k: (symbol, code) for k, (_, symbol, code) in enumerate(MORE.values())}
+
+
 def test_private_keys_without_begin_lines():
     import base64
 
