@@ -92,17 +92,34 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(urls).filter("n_found > 0").select("place", "row_id", "masked", "n_found")
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    new = table(spark, d, "arrival", True).select("arrival_id", "kind", "external_id", "content_hash", "text")
-    old = table(spark, d, "artifact").select("kind", "external_id", "content_hash")
+KEYS = ("kind", "external_id", "content_hash")
+
+
+def _history(spark: SparkSession, d: str) -> tuple[history.History, DataFrame, DataFrame]:
+    """The history of all artifacts, the arrivals, and the texts that the history was made of."""
+    new = table(spark, d, "arrival", True).select("arrival_id", "batch_no", *KEYS, "text")
     chunks = table(spark, d, "chunk", True).select("id", "text")
-    store = history.History(spark)
-    order = history.order_of(chunks.select("text"), new.select("text"))
-    store.append(history.hash_rows(chunks, "id", "text", order=order))
-    store.append(history.hash_rows(new, "arrival_id", "text", "arrival_id", order))
-    known = durable(history.by_key(new, "arrival_id", "arrival_id", old, ["kind", "external_id", "content_hash"]).unionByName(history.copies(store)).distinct(), "known")
-    near = history.compare(history.candidates(store, known), new, "arrival_id", "text", chunks, "id", "text")
-    return known.unionByName(near.select("own")).distinct().select(F.col("own").alias("arrival_id"))
+    store = history.History(spark, order=history.order_of(chunks.select("text"), new.select("text")), keys=KEYS)
+    store.load(chunks, "id", "text", table(spark, d, "artifact").select(*KEYS))
+    return store, new, chunks
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """All arrivals as one batch; their ids say which are earlier."""
+    store, new, chunks = _history(spark, d)
+    return store.accept(new, "arrival_id", "arrival_id", "text", chunks, "id", "text").select(F.col("own").alias("arrival_id"))
+
+
+def p6_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same batch by batch: each is checked against the history and then appended to it."""
+    store, new, chunks = _history(spark, d)
+    out = None
+    for no in [r[0] for r in new.select("batch_no").distinct().orderBy("batch_no").collect()]:
+        batch = new.filter(F.col("batch_no").eqNullSafe(F.lit(no)))
+        earlier = new.filter(F.col("batch_no") < F.lit(no)) if no is not None else new.limit(0)
+        found = store.accept(batch, "arrival_id", "arrival_id", "text", chunks, "id", "text", earlier).select(F.lit(no).cast("int").alias("batch_no"), F.col("own").alias("arrival_id"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else new.select("batch_no", "arrival_id").limit(0)
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:

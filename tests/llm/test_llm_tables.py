@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,14 +93,10 @@ def test_repeats_are_those_of_brute_force(spark):
             y = history.words(t2)
             if s2 < s and min(len(x), len(y)) >= 15 and history.in_order(x, y) >= 0.8 * max(len(x), len(y)):
                 want.add(k)
-    for hot in (1, 32):
-        store = history.History(spark)
-        store.append(history.hash_rows(o, "id", "text"))
-        store.append(history.hash_rows(n, "arrival_id", "text", "seq"))
-        whole = history.copies(store)
-        near = history.compare(history.candidates(store, whole, hot), n, "arrival_id", "text", o, "id", "text")
-        got = {r.own for r in whole.collect()} | {r.own for r in near.collect()}
-        assert got == want
+    for order in (None, history.order_of(o.select("text")), np.full(history.COUNTERS, 1 << 16, np.int32)):
+        store = history.History(spark, buckets=4, order=order)
+        store.load(o, "id", "text")
+        assert {r.own for r in store.accept(n, "arrival_id", "seq", "text", o, "id", "text").collect()} == want
         store.drop()
 
 
@@ -116,13 +113,72 @@ def test_repeats_by_fragments_that_many_texts_share(spark):
             old.append((100 + 10 * k + j, " ".join(f"{' '.join(c)} o{k}x{j}x{i}" for i, c in enumerate(cut))))
     o = spark.createDataFrame(old, "id long, text string")
     n = spark.createDataFrame(new, "arrival_id long, seq long, text string")
-    for hot in (3, 32):
-        store = history.History(spark)
-        store.append(history.hash_rows(o, "id", "text"))
-        store.append(history.hash_rows(n, "arrival_id", "text", "seq"))
-        near = history.compare(history.candidates(store, history.copies(store), hot), n, "arrival_id", "text", o, "id", "text")
-        assert {(r.own, r.other) for r in near.collect()} == {(1000 + k, k) for k in range(12)}
+    store = history.History(spark, buckets=4)
+    store.load(o, "id", "text")
+    assert {r.own for r in store.accept(n, "arrival_id", "seq", "text", o, "id", "text").collect()} == {1000 + k for k in range(12)}
+    store.drop()
+
+
+def _changed(rng, base, k, even):
+    """A fifth of the words replaced, at random places or evenly spread."""
+    n, out = len(base), list(base)
+    many = n - history.least_common(n)
+    for i, at in enumerate([i * n // max(1, many) for i in range(many)] if even else rng.sample(range(n), many)):
+        out[at] = f"z{k}x{i}"
+    return out
+
+
+def test_no_pair_at_the_least_share_is_lost(spark):
+    """Words are few, so that rare ones are in many texts."""
+    rng = random.Random(21)
+    old, new = [], []
+    for k in range(300):
+        base = [f"w{int(rng.random() ** 2 * 90)}" for _ in range(rng.choice((15, 16, 20, 30, 60, 200)))]
+        old.append((k, " ".join(base)))
+        new.append((1000 + k, k, " ".join(_changed(rng, base, k, k % 2))))
+    o = spark.createDataFrame(old, "id long, text string")
+    n = spark.createDataFrame(new, "arrival_id long, seq long, text string")
+    store = history.History(spark, buckets=4, order=history.order_of(o.select("text")))
+    store.load(o, "id", "text")
+    assert store.accept(n, "arrival_id", "seq", "text", o, "id", "text").count() == 300
+    store.drop()
+
+
+def test_batches_are_checked_one_after_the_other(spark):
+    old, new = _records()
+    rows = [(a, 1 + j // 30, "pr", f"e{j % 50}", None if j % 7 else "h", t) for j, (a, _, t) in enumerate(new)]
+    o = spark.createDataFrame(old, "id long, text string")
+    n = spark.createDataFrame(rows, "arrival_id long, batch_no int, kind string, external_id string, content_hash string, text string")
+    records = spark.createDataFrame([("pr", "e7", "h"), ("pr", "e8", None)], "kind string, external_id string, content_hash string")
+    got = []
+    for whole in (True, False):
+        store = history.History(spark, buckets=4, keys=("kind", "external_id", "content_hash"))
+        store.load(o, "id", "text", records)
+        found = []
+        for no in [None] if whole else sorted({r[1] for r in rows}):
+            batch, earlier = (n, None) if whole else (n.filter(F.col("batch_no") == no), n.filter(F.col("batch_no") < no))
+            found += [r.own for r in store.accept(batch, "arrival_id", "arrival_id", "text", o, "id", "text", earlier).collect()]
+        got.append(sorted(found))
         store.drop()
+    assert got[0] == got[1] and 1007 in got[0]
+
+
+def test_the_history_is_not_shuffled(spark):
+    old, new = _records()
+    o, n = spark.createDataFrame(old, "id long, text string"), spark.createDataFrame(new, "arrival_id long, seq long, text string")
+    store = history.History(spark, buckets=4)
+    store.load(o, "id", "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = history._asked(history.fingerprints(n, "arrival_id", "text", "seq"))
+        plan = history.meet(asked, store.held("words"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Below the join's side of the history there is an aggregation by key and the scan, and no exchange.
+    scan = plan.index(f"{store.name}_words".lower()) if f"{store.name}_words".lower() in plan.lower() else plan.index("Bucketed: true")
+    side = plan[plan.index("SortMergeJoin") if "SortMergeJoin" in plan else 0 : scan]
+    assert "Bucketed: true" in plan and "Exchange" not in side[side.rindex("ObjectHashAggregate") :] and plan.count("Exchange hashpartitioning(hash") <= 2
+    store.drop()
 
 
 def test_words_in_order():
@@ -145,7 +201,11 @@ def test_words_in_order():
 def test_repeats_by_key(spark):
     old = spark.createDataFrame([("pr", "a", "h"), ("pr", "b", None)], "kind string, external_id string, content_hash string")
     new = spark.createDataFrame([(1, "pr", "a", "h"), (2, "pr", "b", None), (3, "pr", "c", "x"), (4, "pr", "c", "x"), (5, None, "c", "x"), (6, "pr", "a", "other")], "arrival_id long, kind string, external_id string, content_hash string")
-    assert {r.own for r in history.by_key(new, "arrival_id", "arrival_id", old, ["kind", "external_id", "content_hash"]).collect()} == {1, 4}
+    store = history.History(spark, buckets=2, keys=("kind", "external_id", "content_hash"))
+    assert {r.own for r in store.known_keys(new, "arrival_id", "arrival_id").collect()} == {4}
+    store._add_keys(old.dropna())
+    assert {r.own for r in store.known_keys(new, "arrival_id", "arrival_id").collect()} == {1, 4}
+    store.drop()
 
 
 def test_mix_meets_its_shares(spark):
