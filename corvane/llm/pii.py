@@ -24,8 +24,8 @@ from corvane.llm.arrow import flat_map
 from corvane.runtime import durable
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
-#: Rounds of bootstrapping; least known instances of a good pattern and least share of its instances.
-ROUNDS, LEAST_KNOWN, LEAST_SHARE = 2, 3, 0.6
+#: Least known instances of a good pattern and least share of its instances.
+LEAST_KNOWN, LEAST_SHARE = 3, 0.6
 
 _EMAIL = re.compile(r"(?<![\w.+%@/-])(?P<local>[\w.+%'-]*\w)(?P<at>@)(?P<domain>[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,})(?![\w@])|(?<![\w.+-])(?P<slocal>[\w.+-]*\w)\s*(?:\(at\)|\[at\]|\{at\}|<at>|\s[aA][tT]\s|\sAT\s)\s*(?P<sdomain>[\w-]+(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\s[dD][oO][tT]\s|\sDOT\s|\.)\s*[\w-]+)*\s*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\s[dD][oO][tT]\s|\sDOT\s)\s*[A-Za-z]{2,})(?!\w)")
 _ROLE = re.compile(r"(?:no[-_.]?reply|do[-_.]?not[-_.]?reply|git|hg|svn|root|deploy|ci|ci[-_.].*|.*[-_.]ci|.*\[?bot\]?|bot|build(?:s|er|bot)?|jenkins|github|gitlab|runner|daemon|mailer-daemon|postmaster|nobody|none|localhost|ec2-user|ubuntu|www-data|automation|dependabot|renovate|actions|.*runner)$", re.I)
@@ -180,14 +180,16 @@ def candidates(df: DataFrame, id_col: str, text_col: str, place: str) -> DataFra
     return flat_map(df.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull()), _rows(place), _DDL)
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bootstrap(found: DataFrame, rounds: int | None = None, least_known: int = LEAST_KNOWN, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patterns, firsts, seconds): good patterns by type, and the first and second parts of known
-    entities (given and family names; for numbers the number and '')."""
+    entities (given and family names; for numbers the number and ''). Rounds go on until no entity is
+    new, or for ``rounds`` at most. What is known only grows, so there is a last one."""
     graph = found.filter("p1 is not null").select("pii_type", "e1", "e2", F.explode(F.array("p1", "p2", "p3")).alias("pattern")).distinct()
     graph = durable(graph, "graph")
     known = durable(found.filter("p1 is not null and seed").select("pii_type", "e1", "e2").distinct(), "known")
-    patterns = None
-    for _ in range(rounds):
+    patterns, size, done = None, -1, 0
+    while (rounds is None or done < rounds) and (n := known.count()) > size:
+        size, done = n, done + 1
         firsts, seconds = (durable(known.groupBy("pii_type", e).agg(F.count("*").alias("_n")).select("pii_type", e), e) for e in ("e1", "e2"))
         sure = graph.join(firsts.withColumn("_f", F.lit(1)), ["pii_type", "e1"], "left").join(seconds.withColumn("_s", F.lit(1)), ["pii_type", "e2"], "left")
         scored = sure.groupBy("pii_type", "pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("_f") * F.col("_s"), F.lit(0))).alias("k"))
@@ -199,7 +201,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_K
     return patterns, firsts, seconds
 
 
-def entities(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def entities(found: DataFrame, rounds: int | None = None) -> DataFrame:
     """place, row_id, pii_type, begin and end of all personal data among candidates."""
     found = durable(found, "pii")
     patterns, firsts, seconds = bootstrap(found, rounds)

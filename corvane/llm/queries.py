@@ -167,9 +167,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", True)
-    pairs, copies = spans.shared_pairs(docs, "doc_id", "text")
-    return spans.shares(docs, "doc_id", "text", durable(pairs, "pairs"), copies)
+    return spans.shares(table(spark, d, "documents", True), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

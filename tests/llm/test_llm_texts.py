@@ -58,7 +58,7 @@ def test_shared_spans_are_those_of_brute_force(spark, hot, least):
         for own, other, held in ((r.id_a, r.id_b, r.in_a), (r.id_b, r.id_a, r.in_b)):
             for s in held:
                 assert all(text[own][i : i + least] in text[other] for i in range(s.begin, s.end - least + 1))
-    shares = {r.doc_id: r for r in spans.shares(df, "doc_id", "text", pairs, copies).collect()}
+    shares = {r.doc_id: r for r in spans.shares(df, "doc_id", "text", least, hot).collect()}
     assert len(shares) == len(docs) and shares[93].shared_chars == 0 and shares[92].n_chars == 0
     for k in (1, 2, 20, 40):
         held = set()
@@ -71,7 +71,7 @@ def test_shared_spans_are_those_of_brute_force(spark, hot, least):
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     pairs, copies = spans.shared_pairs(df, "doc_id", "text")
-    assert spans.expanded(pairs, copies).count() == 0 and spans.shares(df, "doc_id", "text", pairs, copies).count() == 0
+    assert spans.expanded(pairs, copies).count() == 0 and spans.shares(df, "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         spans.shared_pairs(df, "doc_id", "text", 20)
 
@@ -84,6 +84,16 @@ def test_repetitive_texts_take_no_longer(spark):
     assert [tuple(r) for r in spans.expanded(pairs, copies).collect()] == [(1, 2)]
 
 
+def test_hot_stretches_have_few_keys():
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghij ", k=4000))
+    hot = spans.runs(text)[0].tolist()
+    keys, windows = list(spans._hot_keys(1, text, hot, 400)), list(spans._hot_windows(1, text, hot, 400))
+    assert len(windows) == len(text) - 399 and len(keys) * 10 < len(windows)
+    cut = text[1000:1400]
+    assert {k for k in spans._hot_keys(2, cut, spans.runs(cut)[0].tolist(), 400)} & {(2, d) for _, d in keys}
+
+
 def test_boundaries_depend_on_content_only():
     rng = np.random.default_rng(3)
     x = rng.integers(97, 123, 3000).astype(np.uint32)
