@@ -17,9 +17,11 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
 
 def hit_keys(chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
     """chunk_id with what is the same in copies of it under several targets: kind and external_id of
-    the artifact and chunk_idx within it. Chunks without artifact are missing."""
+    the artifact and chunk_idx within it, and ``object``, a hash of these. Chunks without artifact are
+    missing."""
     numbered = chunks.select(F.col("id").alias("chunk_id"), "artifact_id", F.row_number().over(W.partitionBy("artifact_id").orderBy("id")).alias("chunk_idx"))
-    return numbered.join(artifacts.select(F.col("id").alias("artifact_id"), F.col("kind").alias("artifact_kind"), "external_id", "created_at"), "artifact_id")
+    keys = numbered.join(artifacts.select(F.col("id").alias("artifact_id"), F.col("kind").alias("artifact_kind"), "external_id", "created_at"), "artifact_id")
+    return keys.withColumn("object", F.xxhash64("artifact_kind", "external_id", "chunk_idx"))
 
 
 def one_of_copies(hits: DataFrame, keys: DataFrame, k: int | None = None) -> DataFrame:
@@ -57,5 +59,5 @@ def hit_rows(hits: DataFrame, chunks: DataFrame, artifacts: DataFrame, targets:
     c = chunks.select(F.col("id").alias("chunk_id"), "artifact_id", "text", "context_json", F.col("language").alias("chunk_language"), "node_kind", "symbol_name")
     a = artifacts.select(F.col("id").alias("artifact_id"), F.col("kind").alias("artifact_kind"), F.col("language").alias("artifact_language"), F.col("repo").alias("artifact_repo"), "source_url", "decision", "target_id", "meta_json")
     t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("kind").alias("target_kind"))
-    plain = hits.select(*[x for x in hits.columns if x not in ("artifact_id", "artifact_kind", "external_id", "chunk_idx", "created_at")])
+    plain = hits.select(*[x for x in hits.columns if x not in ("artifact_id", "artifact_kind", "external_id", "chunk_idx", "created_at", "object")])
     return plain.join(c, "chunk_id").join(a, "artifact_id").join(t, "target_id")

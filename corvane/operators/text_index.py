@@ -3,8 +3,8 @@
 Terms are lower-case runs of letters, digits and underscores; with ``stem`` also without accents and
 reduced by Porter's rules, which is done once for each distinct term and joined back. A query is a
 conjunction of groups, a group a choice of phrases, a phrase one term or several that must follow
-each other. Candidates of a query are the texts that hold its rarest group; only for these the other
-phrases are looked up, so common terms never meet all queries."""
+each other. Hits of each distinct phrase are looked up once for all queries; candidates of a query are
+the texts that hold its rarest group, and only these meet the hits of its other phrases."""
 
 from __future__ import annotations
 
@@ -53,6 +53,12 @@ def postings(texts: DataFrame, id_col: str, text_col: str, stem: bool = False, a
     return rows.join(forms, "term").select("chunk_id", F.col("_form").alias("term"), "pos")
 
 
+def index(posts: DataFrame) -> DataFrame:
+    """Postings put together as an index stores them: term, chunk_id and ``at``, the places of the term
+    in the text in order."""
+    return posts.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+
+
 def lengths(posts: DataFrame) -> DataFrame:
     """chunk_id and len (terms) of texts with terms."""
     return posts.groupBy("chunk_id").agg(F.count("*").alias("len"))
@@ -87,22 +93,28 @@ def expanded_queries(queries: DataFrame, expander: QueryExpander, text_col: str
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, chunk_id and f: how often each distinct phrase stands in each text."""
+    """phrase, chunk_id and f: how often each distinct phrase stands in each text. ``posts`` as postings
+    or index gives them."""
     wanted = phrases.select("phrase", "terms").distinct()
     words = wanted.select("phrase", F.size("terms").alias("_n"), F.posexplode("terms").alias("_at", "term"))
     met = posts.join(words, "term")
-    single = met.filter("_n = 1").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
+    if "at" in posts.columns:
+        single = met.filter("_n = 1").select("phrase", "chunk_id", F.size("at").cast("long").alias("f"))
+        met = met.filter("_n > 1").withColumn("pos", F.explode("at"))
+    else:
+        single = met.filter("_n = 1").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
     rows = met.filter("_n > 1").groupBy("phrase", "chunk_id", "_n", (F.col("pos") - F.col("_at")).alias("_begin")).agg(F.count("*").alias("_k"))
     several = rows.filter("_k = _n").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
     return single.unionByName(several)
 
 
-def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, n_texts: DataFrame | None = None, sizes: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None, k: int | None = TOP, n_texts: DataFrame | None = None, sizes: DataFrame | None = None, objects: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, chunk_id, score and rank of the texts that fit each query, the best k of each (all if
     None); less is better, ties by chunk_id. Every phrase of a query that stands in a text counts.
     ``candidates`` (chunk_id) filters hits and changes no score. ``n_texts`` is one row with the number
     of texts of the index, those without terms included; by default texts with terms are counted.
-    ``sizes`` (chunk_id, len) are the texts' terms, if they are known more cheaply than by counting."""
+    ``sizes`` (chunk_id, len) are the texts' terms, if they are known more cheaply than by counting.
+    With ``objects`` (chunk_id, object) only the best text of each object is a hit."""
     sizes = sizes if sizes is not None else lengths(posts)
     counted = n_texts.toDF("_docs") if n_texts is not None else sizes.agg(F.count("*").alias("_docs"))
     # Both are one row.
@@ -125,6 +137,9 @@ def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = No
     part = F.col("_idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
     # A phrase that stands in several groups of a query counts in each of them.
     scored = full.groupBy("query_id", "chunk_id", "_groups").agg((-F.sum(part)).alias("score"), F.count_distinct("grp").alias("_met")).filter("_met = _groups")
+    if objects is not None:
+        best = F.min(F.struct(F.round("score", 8).alias("_round"), "chunk_id", "score")).alias("_best")
+        scored = scored.join(objects.select("chunk_id", "object"), "chunk_id").groupBy("query_id", "object").agg(best).select("query_id", "_best.chunk_id", "_best.score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 8), "chunk_id"))
     ranked = scored.select("query_id", "chunk_id", "score").withColumn("rank", rank)
     return ranked if k is None else ranked.filter(F.col("rank") <= k)

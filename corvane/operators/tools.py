@@ -15,6 +15,7 @@ from corvane.functions.expand import QueryExpander
 from corvane.functions.scalars import is_blank, truncated
 from corvane.operators import fusion, text_index, vector
 from corvane.operators.filters import Filters, candidate_ids, matches_glob
+from corvane.runtime import durable
 from corvane.schema import DECISIONS, FETCH, OVER_GLOB, TOP, TOP_VOTE
 
 
@@ -24,7 +25,9 @@ class NotReady(RuntimeError):
 
 @dataclass
 class Corpus:
-    """Tables that searches read. ``vectors``: chunk_id, embedding."""
+    """Tables that searches read. ``vectors``: chunk_id, embedding. What searches need again and again
+    is made anew each time, or stored once (see stored): ``posts`` the keyword index, ``lengths`` of
+    texts, ``copies`` the keys by which copies are known, ``texts`` their number."""
 
     targets: DataFrame
     artifacts: DataFrame
@@ -33,20 +36,33 @@ class Corpus:
     posts: DataFrame | None = None
     ascii_only: bool = False
     stem: bool = False
+    lengths: DataFrame | None = None
+    copies: DataFrame | None = None
+    texts: DataFrame | None = None
 
     def postings(self) -> DataFrame:
-        """The keyword index: the one that is given, which a large corpus should write once, or made
-        anew of the texts."""
         return self.posts if self.posts is not None else text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)
 
     def sizes(self) -> DataFrame:
-        return text_index.sizes_of(self.chunks, "id", "text", self.ascii_only)
+        return self.lengths if self.lengths is not None else text_index.sizes_of(self.chunks, "id", "text", self.ascii_only)
 
     def n_texts(self) -> DataFrame:
-        return self.chunks.filter("text is not null").agg(F.count("*"))
+        return self.texts if self.texts is not None else self.chunks.filter("text is not null").agg(F.count("*"))
 
     def keys(self) -> DataFrame:
-        return fusion.hit_keys(self.chunks, self.artifacts)
+        return self.copies if self.copies is not None else fusion.hit_keys(self.chunks, self.artifacts)
+
+    def stored(self) -> Corpus:
+        """The same with its index written: the keyword index, lengths, keys, and the vectors with the
+        key and all that filters ask for beside them, so that a search joins and moves no vectors."""
+        posts = durable(text_index.index(text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)), "index")
+        lengths = durable(text_index.sizes_of(self.chunks, "id", "text", self.ascii_only), "lengths")
+        copies = durable(fusion.hit_keys(self.chunks, self.artifacts), "copies")
+        chunks = self.chunks.select(F.col("id").alias("chunk_id"), "artifact_id", "kind", "language", "node_kind")
+        made_by = self.artifacts.select(F.col("id").alias("artifact_id"), "repo", "author_login", "target_id")
+        facts = chunks.join(made_by, "artifact_id", "left").join(copies.select("chunk_id", "object"), "chunk_id", "left").drop("artifact_id")
+        vectors = durable(self.vectors.select("chunk_id", "embedding").join(facts.withColumn("known", F.lit(True)), "chunk_id", "left"), "vectors")
+        return replace(self, vectors=vectors, posts=posts, lengths=lengths, copies=copies, texts=durable(self.n_texts().toDF("n"), "texts"))
 
 
 def require_data(corpus: Corpus) -> None:
@@ -60,16 +76,21 @@ def require_data(corpus: Corpus) -> None:
 def vector_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int = TOP, coalesce: bool = True, mode: str = "filter_first") -> DataFrame:
     """Nearest chunks of each query among those that pass the filters, copies made one. ``mode``
     filter_first is exact; filter_last takes the nearest of all first and keeps copies."""
-    candidates = candidate_ids(corpus.chunks, corpus.artifacts, filters)
-    if mode == "filter_last":
-        return vector.knn_then_filter(corpus.vectors, candidates, queries, k)
-    if mode != "filter_first":
+    if mode not in ("filter_first", "filter_last"):
         raise ValueError(f"unknown mode: {mode}")
-    vectors = corpus.vectors.join(candidates, "chunk_id", "left_semi")
+    stored, condition = "object" in corpus.vectors.columns, filters.on_chunk()
+    if mode == "filter_last":
+        candidates = candidate_ids(corpus.chunks, corpus.artifacts, filters)
+        return vector.knn_then_filter(corpus.vectors.select("chunk_id", "embedding"), candidates, queries, k)
+    if stored:
+        of_artifact = filters.on_artifact()
+        vectors = corpus.vectors.filter("known").filter(condition if of_artifact is None else condition & of_artifact)
+    else:
+        vectors = corpus.vectors.join(candidate_ids(corpus.chunks, corpus.artifacts, filters), "chunk_id", "left_semi")
     if not coalesce:
-        return vector.knn(vectors, queries, k)
-    keys = corpus.keys().select("chunk_id", F.xxhash64("artifact_kind", "external_id", "chunk_idx").alias("object"))
-    return vector.knn(vectors.join(keys, "chunk_id"), queries, k)
+        return vector.knn(vectors.select("chunk_id", "embedding"), queries, k)
+    keyed = vectors.filter("object is not null") if stored else vectors.join(corpus.keys(), "chunk_id")
+    return vector.knn(keyed.select("chunk_id", "embedding", "object"), queries, k)
 
 
 def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int | None = TOP, coalesce: bool = True, expander: QueryExpander | None = None) -> DataFrame:
@@ -77,8 +98,7 @@ def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int
     groups = text_index.expanded_queries(queries, expander) if expander else text_index.plain_queries(queries)
     phrases = text_index.phrases_of(groups, corpus.stem, corpus.ascii_only)
     candidates = candidate_ids(corpus.chunks, corpus.artifacts, filters)
-    hits = text_index.bm25(corpus.postings(), phrases, candidates, None if coalesce else k, corpus.n_texts(), corpus.sizes())
-    return fusion.one_of_copies(hits, corpus.keys(), k) if coalesce else hits
+    return text_index.bm25(corpus.postings(), phrases, candidates, k, corpus.n_texts(), corpus.sizes(), corpus.keys() if coalesce else None)
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int | None = TOP, fetch: int = FETCH, half_life_days: float | None = None, now: str | None = None, expander: QueryExpander | None = None) -> DataFrame:

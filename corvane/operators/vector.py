@@ -1,8 +1,8 @@
 """Exact nearest neighbours of a set of query vectors.
 
 Queries are a stated, small set; they meet all vectors in blocks of bounded size. A partition keeps
-the best k of each query while it reads, so what is shuffled is queries x k rows a partition, and
-vectors are never moved."""
+the best k of each query while it reads, so what is shuffled is queries x k rows a partition; vectors
+that have what filters and copies are told by beside them (see tools.Corpus.stored) are never moved."""
 
 from __future__ import annotations
 
@@ -61,6 +61,19 @@ def _nearest(distance: np.ndarray, chunk: np.ndarray, group: np.ndarray, k: int)
     return order[np.sort(first)[:k]]
 
 
+def _nearby(rough: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Places that hold the k nearest groups for sure: those up to a distance within which there are
+    k groups. Few need sorting then, also where many are copies of each other."""
+    most = 2 * k + 8
+    while most < len(rough):
+        bound = np.partition(rough, most - 1)[most - 1]
+        cols = np.flatnonzero(rough <= bound + 1e-6 * (1 + abs(bound)))
+        if len(np.unique(group[cols])) >= k:
+            return cols
+        most *= 4
+    return np.arange(len(rough))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK) -> DataFrame:
     """query_id, chunk_id, distance (Euclidean) and rank of the k nearest of each query; ties by
     chunk_id. ``vectors``: chunk_id, embedding, and if there is a column ``object`` only the nearest
@@ -69,12 +82,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK
     spark = vectors.sparkSession
     grouped = "object" in vectors.columns
     queries = queries.select(F.col("query_id").cast("long"), "embedding").filter("embedding is not null")
-    total = queries.count()
-    blocks = max(1, -(-total // block))
+    # A set that fits one block takes one job.
+    some = queries.limit(block + 1).collect()
+    blocks = 1 if len(some) <= block else -(-queries.count() // block)
     out = None
     for number in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else queries
-        rows = part.collect()
+        rows = some if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -94,10 +107,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK
                 group = np.asarray(batch.column(2))[rows].astype(np.int64) if grouped else chunk
                 rough = (v * v).sum(1)[None, :] - 2 * asked @ v.T
                 for q in range(len(ids)):
-                    cols = np.arange(len(rows))
-                    if not grouped and len(rows) > 2 * k + 8:
-                        bound = np.partition(rough[q], 2 * k + 7)[2 * k + 7]
-                        cols = np.flatnonzero(rough[q] <= bound + 1e-6 * (1 + abs(bound)))
+                    cols = _nearby(rough[q], group, k)
                     have = np.isfinite(near[q])
                     d = np.concatenate((near[q][have], np.sqrt(((v[cols] - asked[q]) ** 2).sum(1))))
                     c, g = np.concatenate((who[q][have], chunk[cols])), np.concatenate((what[q][have], group[cols]))

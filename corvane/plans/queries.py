@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import expand, languages, scalars
@@ -43,11 +44,30 @@ def sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _corpus(spark: SparkSession, d: str) -> tools.Corpus:
+_STORED: dict[tuple, tools.Corpus] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> int:
+    """When a table was last written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+
+
+def _plain_corpus(spark: SparkSession, d: str) -> tools.Corpus:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return tools.Corpus(table(spark, d, "target_scope"), table(spark, d, "artifact"), table(spark, d, "chunk"), vectors, ascii_only=True)
 
 
+def _corpus(spark: SparkSession, d: str) -> tools.Corpus:
+    """The corpus with its index, which is written by the first search of a session and again when a
+    table was written since."""
+    names = ("chunk", "artifact", "embeddings")
+    key = (spark.sparkContext.applicationId, d, *(_stamp(spark, f"{d.rstrip('/')}/{n}.parquet") for n in names))
+    if key not in _STORED:
+        _STORED[key] = _plain_corpus(spark, d).stored()
+    return _STORED[key]
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: chunks whose id is divisible by 100, with their vector and first words."""
     words = F.array_join(F.slice(text_index.raw_terms(F.col("text"), True), 1, 3), " ")
@@ -235,6 +255,14 @@ def jn11_note_diff(spark: SparkSession, d: str) -> DataFrame:
 # Retrieval
 
 
+@query(f"WITH {_TOK} SELECT (SELECT count(*) FROM tf) AS n_postings, (SELECT count(DISTINCT term) FROM tf) AS n_terms, CAST((SELECT sum(len) FROM dl) AS BIGINT) AS n_places, (SELECT count(*) FROM embeddings e JOIN chunk c ON c.id = e.vec_id) AS n_vectors")
+def rt0_index(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the index of a corpus, which the searches below read."""
+    corpus = _plain_corpus(spark, d).stored()
+    posts = corpus.postings().agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"))
+    return posts.crossJoin(corpus.sizes().agg(F.sum("len").alias("n_places"))).crossJoin(corpus.vectors.agg(F.count_if("known").alias("n_vectors")))
+
+
 @query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT q.query_id, e.vec_id AS chunk_id, list_distance(CAST(e.embedding AS DOUBLE[]), q.qv) AS v FROM q, embeddings e) SELECT query_id, chunk_id, round(v, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9), chunk_id) AS rank FROM h QUALIFY rank <= 10")
 def rt1_nearest(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -290,10 +318,13 @@ def rk3_recency(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_KEYS} SELECT akind AS artifact_kind, count(*) AS n, count(DISTINCT (akind, external_id, chunk_idx)) AS n_objects FROM keys GROUP BY ALL")
+@query(f"WITH {_KEYS}, h AS (SELECT k.chunk_id % 3 AS query_id, k.chunk_id, row_number() OVER (PARTITION BY k.chunk_id % 3 ORDER BY k.chunk_id) AS rank, akind, external_id, chunk_idx FROM keys k), o AS (SELECT query_id, chunk_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, akind, external_id, chunk_idx ORDER BY rank) = 1) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o")
 def rt8_copies(spark: SparkSession, d: str) -> DataFrame:
-    keys = fusion.hit_keys(table(spark, d, "chunk"), table(spark, d, "artifact"))
-    return keys.groupBy("artifact_kind").agg(F.count("*").alias("n"), F.count_distinct(F.struct("artifact_kind", "external_id", "chunk_idx")).alias("n_objects"))
+    chunks, artifacts = table(spark, d, "chunk"), table(spark, d, "artifact")
+    keys = fusion.hit_keys(chunks, artifacts)
+    hits = keys.select((F.col("chunk_id") % 3).alias("query_id"), "chunk_id")
+    ranks = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id")))
+    return fusion.one_of_copies(ranks, keys).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{_fused('review_comment')} SELECT query_id, rank, c.text AS comment, {_CUT.format(_ctx('diff_hunk'))} AS diff_hunk_context, {_ctx('path')} AS path, a.language, {_ctx('pr_title')} AS pr_title, a.repo, t.name AS target, a.source_url AS url, round(1 - score, 4) AS distance FROM rk {_HITS} WHERE rank <= 5")
