@@ -9,32 +9,38 @@ from typing import Protocol
 #: Groups of words that stand for each other. A word that is in several groups has the
 #: alternates of the first only.
 SYNONYMS = (
-    "function func fn method def procedure",
-    "class struct type record interface trait",
-    "search find lookup query fetch get",
-    "index indexer store engine",
-    "embed embedder embedding vector encode",
-    "test spec suite expect assert",
-    "error err fail failure exception",
-    "config settings options cfg",
-    "connect connection client session",
-    "retry backoff redrive",
-    "queue channel stream pipe",
-    "lock mutex semaphore latch",
-    "create new make init construct",
-    "delete remove drop destroy purge",
-    "update modify edit patch set",
-    "read load open scan",
-    "write save persist store",
-    "start begin launch spawn",
-    "stop halt kill shutdown close",
-    "parse decode deserialize",
-    "serialize encode marshal",
+    ("function", "func", "fn", "method", "def", "procedure"),
+    ("class", "struct", "type", "record", "interface", "trait"),
+    ("search", "find", "lookup", "query", "fetch", "get"),
+    ("index", "indexer", "store", "engine"),
+    ("embed", "embedder", "embedding", "vector", "encode"),
+    ("test", "spec", "suite", "expect", "assert"),
+    ("error", "err", "fail", "failure", "exception"),
+    ("config", "settings", "options", "cfg"),
+    ("connect", "connection", "client", "session"),
+    ("retry", "backoff", "redrive"),
+    ("queue", "channel", "stream", "pipe"),
+    ("lock", "mutex", "semaphore", "latch"),
+    ("create", "new", "make", "init", "construct"),
+    ("delete", "remove", "drop", "destroy", "purge"),
+    ("update", "modify", "edit", "patch", "set"),
+    ("read", "load", "open", "scan"),
+    ("write", "save", "persist", "store"),
+    ("start", "begin", "launch", "spawn"),
+    ("stop", "halt", "kill", "shutdown", "close"),
+    ("parse", "decode", "deserialize"),
+    ("serialize", "encode", "marshal"),
 )
-_GROUP = {word: group.split() for group in reversed(SYNONYMS) for word in group.split()}
+_GROUP = {word: group for group in reversed(SYNONYMS) for word in group}
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
+def case_variants(token: str) -> list[str]:
+    """The token in lower case, and with a capital where it has one case only; each once."""
+    found = [token.lower()] + ([token.capitalize()] if token.islower() or token.isupper() else [])
+    return [v for v in dict.fromkeys(found) if v != token]
+
+
 class QueryExpander(Protocol):
     """Turns a query into groups of words, each the word itself and what may stand for it."""
 

@@ -171,6 +171,23 @@ def blob_url(host: str, repo: Column, sha: Column, path: Column) -> Column:
     return F.concat(F.lit(f"https://{host}/"), repo, F.lit("/blob/"), sha, F.lit("/"), path)
 
 
+def discussion_url(host: str, repo: Column, category: Column, title: Column, body: Column) -> Column:
+    """The form of a new discussion with category, title and body filled in."""
+    field = lambda name, c: F.concat(F.lit(f"{name}="), F.url_encode(c))
+    return F.concat(F.lit(f"https://{host}/"), repo, F.lit("/discussions/new?"), field("category", category), F.lit("&"), field("title", title), F.lit("&"), field("body", body))
+
+
+def formatted_front_matter(meta: Column, body: Column) -> Column:
+    """A text with ``key: value`` lines of a map between fences before it; keys in order."""
+    lines = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n")))
+    return F.concat(F.lit("---\n"), F.array_join(lines, ""), F.lit("---\n"), body)
+
+
+def compact_json(value: Column) -> Column:
+    """JSON without blanks, null fields kept; null stays null."""
+    return F.when(value.isNotNull(), F.to_json(value, {"ignoreNullFields": "false"}))
+
+
 def truncated(text: Column, lines: int = 40) -> Column:
     """The first ``lines`` lines and how many more there are."""
     parts = F.split(text, "\n")

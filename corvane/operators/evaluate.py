@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import is_blank
-from corvane.operators.filters import held_out
-from corvane.schema import DECISIONS, TIERS
+from corvane.operators.filters import held_out, matches_glob
+from corvane.operators.fusion import hit_rows
+from corvane.operators.tools import Corpus, hybrid_search, keyword_search, vector_search
+from corvane.schema import DECISIONS, OVER_GLOB, TIERS, TOP
 
 
 def held_out_comments(artifacts: DataFrame, chunks: DataFrame, since: str, limit: int | None = None) -> DataFrame:
@@ -81,3 +84,65 @@ def paired_t(pairs: DataFrame, before: str, after: str) -> tuple[float | None, f
         return (math.inf, 0.0) if mean > 0 else (0.0, 1.0)
     t = mean / (sd / math.sqrt(n))
     return t, 0.5 * math.erfc(t / math.sqrt(2))
+
+
+def expectations(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """query_id, field and value of all that hits of the entries of a bank may fit."""
+    rows = [(e["query_id"], field, str(value)) for e in entries for wanted in e["expect_any"] for field, value in wanted.items()]
+    return spark.createDataFrame(rows, "query_id long, field string, value string")
+
+
+def fits(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id of hits (query_id, chunk_id, artifact_id, path, url, text, symbol_name, node_kind) that
+    fit one of the expectations of their query (see filters.expectation for what fitting is)."""
+    value, field = F.col("value"), F.col("field")
+    test = F.lit(False)
+    for name in ("chunk_id", "artifact_id", "symbol_name", "node_kind"):
+        test = F.when(field == name, F.col(name).cast("string") == value).otherwise(test)
+    test = F.when(field == "path_substr", F.col("path").contains(value)).when(field == "url_substr", F.col("url").contains(value)).when(field == "text_substr", F.lower("text").contains(F.lower(value))).otherwise(test)
+    return rows.join(expected, "query_id").filter(F.coalesce(test, F.lit(False))).select("query_id").distinct()
+
+
+def run_bank(corpus: Corpus, entries: list[dict], queries: DataFrame, modes: tuple[str, ...] = ("vector", "bm25", "hybrid"), k: int = TOP, half_life_days: float | None = None, now: str | None = None) -> DataFrame:
+    """query_id, tool, tier, label, mode and passed of every entry of a bank in every mode. ``queries``:
+    query_id, query and embedding of the entries. Entries with one tool and the same filters are one
+    search; the half-life counts in the fused mode only. A bank is a list of few entries."""
+    from corvane.sources.banks import bank_table, filters_of
+
+    spark = queries.sparkSession
+    bank, expected = bank_table(spark, entries), expectations(spark, entries)
+    groups: dict[tuple, list[dict]] = {}
+    for e in entries:
+        groups.setdefault((filters_of(e), e["filters"].get("path_glob")), []).append(e)
+    passed = None
+    for (wanted, glob), members in groups.items():
+        asked = queries.filter(F.col("query_id").isin(*(e["query_id"] for e in members)))
+        fetch = k * OVER_GLOB if glob else k
+        for mode in modes:
+            if mode == "vector":
+                hits = vector_search(corpus, asked, wanted, fetch)
+            elif mode == "bm25":
+                hits = keyword_search(corpus, asked, wanted, fetch)
+            else:
+                hits = hybrid_search(corpus, asked, wanted, fetch, half_life_days=half_life_days, now=now)
+            rows = hit_rows(hits.select("query_id", "chunk_id", "rank"), corpus.chunks, corpus.artifacts, corpus.targets).withColumns({"path": F.get_json_object("context_json", "$.path"), "url": F.col("source_url")})
+            if glob:
+                rows = rows.filter(F.coalesce(matches_glob(F.col("path"), glob), F.lit(False)))
+                rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("_no") <= k)
+            found = fits(rows, expected).withColumn("mode", F.lit(mode))
+            passed = found if passed is None else passed.unionByName(found)
+    every = bank.select("query_id", "tool", "tier", "label", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    if passed is None:
+        return every.withColumn("passed", F.lit(False))
+    return every.join(passed.withColumn("passed", F.lit(True)), ["query_id", "mode"], "left").fillna(False, ["passed"])
+
+
+def review_report(distances: DataFrame, before: str = "baseline", after: str = "informed") -> DataFrame:
+    """One row: n, the mean of both distances, delta (how much nearer ``after`` is), t and p of
+    paired_t; means of no rows, and t and p of fewer than two, are null."""
+    spark = distances.sparkSession
+    pairs = distances.filter(F.col(before).isNotNull() & F.col(after).isNotNull())
+    t, p = paired_t(pairs, before, after)
+    facts = pairs.agg(F.count("*").alias("n"), F.round(F.avg(before), 6).alias(f"mean_{before}"), F.round(F.avg(after), 6).alias(f"mean_{after}"), F.round(F.avg(F.col(before) - F.col(after)), 6).alias("delta"))
+    tested = spark.createDataFrame([(None if t is None else round(t, 6), None if p is None else round(p, 6))], "t double, p double")
+    return facts.crossJoin(F.broadcast(tested))

@@ -3,8 +3,11 @@ that use them. Everything runs in the workers over Arrow batches."""
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import time
+from collections import Counter
 from collections.abc import Callable
 from typing import Protocol
 
@@ -32,6 +35,33 @@ class RuleMaker(Protocol):
     def rule(self, texts: list[str]) -> str | None: ...
 
 
+class Told:
+    """A text model that is a function, such as a client of a service."""
+
+    def __init__(self, say: Callable[[str], str]):
+        self._say = say
+
+    def say(self, prompt: str) -> str:
+        return self._say(prompt)
+
+
+class FirstLine:
+    """A text model without network: the first line of a prompt that isn't blank."""
+
+    def say(self, prompt: str) -> str:
+        return next((line.strip() for line in prompt.splitlines() if line.strip()), "")
+
+
+class Canned:
+    """A text model of fixed answers by prompt, with one for all others; for tests and replays."""
+
+    def __init__(self, answers: dict[str, str], otherwise: str = ""):
+        self.answers, self.otherwise = answers, otherwise
+
+    def say(self, prompt: str) -> str:
+        return self.answers.get(prompt, self.otherwise)
+
+
 class FirstText:
     """The shortest of the texts, of equals the first; never fails."""
 
@@ -41,6 +71,42 @@ class FirstText:
         return min(texts, key=lambda t: (len(t), texts.index(t))) if texts else None
 
 
+class CommonWords:
+    """The words that most of the texts hold, in order of the first; None where they share fewer than
+    ``least``."""
+
+    backend_id = "common-words"
+
+    def __init__(self, least: int = 2, share: float = 0.5):
+        self.least, self.share = least, share
+
+    def rule(self, texts: list[str]) -> str | None:
+        words = [re.findall(r"[^\W\d_]{3,}", t.lower()) for t in texts]
+        held = Counter(w for found in words for w in set(found))
+        kept = [w for w in dict.fromkeys(words[0] if words else ()) if held[w] > self.share * len(texts)]
+        return " ".join(kept) if len(kept) >= self.least else None
+
+
+class Asked:
+    """A rule that a text model makes: it is asked with numbered texts and answers a JSON object with
+    ``rule``, which may stand within other text. No object, or a null rule, is no rule."""
+
+    backend_id = "text-model"
+
+    def __init__(self, model: TextModel, prompt: str = "State the rule that these comments share as {\"rule\": ...}, or null.\n"):
+        self.model, self.prompt = model, prompt
+
+    def rule(self, texts: list[str]) -> str | None:
+        said = retried(lambda: self.model.say(self.prompt + "\n".join(f"{k}. {t}" for k, t in enumerate(texts, 1))))
+        begin, end = said.find("{"), said.rfind("}")
+        try:
+            found = json.loads(said[begin : end + 1]) if 0 <= begin < end else None
+        except ValueError:
+            return None
+        rule = found.get("rule") if isinstance(found, dict) else None
+        return rule if isinstance(rule, str) else None
+
+
 def retried(call: Callable[[], str], attempts: int = 4, first_wait: float = 0.5, again: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> str:
     """What ``call`` gives; after an error for which ``again`` holds it is called anew after a time
     that doubles, with up to half of it more by chance. The last error stands."""

@@ -3,6 +3,7 @@ switch to the new files. Surrogate ids are kept where a key is known and follow
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,19 +153,92 @@ def page_actions(expected: DataFrame, existing: DataFrame) -> DataFrame:
     return both.select("path", action.alias("action"))
 
 
-def switch(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write ``df`` beside the table at ``path`` and put it in its place by renaming, all or nothing."""
+def upsert_targets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Scopes by (kind, name): external id and addresses are overwritten, and new ones get ids."""
+    keys = ["kind", "name"]
+    return with_ids(upsert(old, new, keys, only=["external_id", "emails_json"]), old, keys)
+
+
+def set_sync_cursors(old: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
+    """Cursors by (target_id, resource); target 0 stands for all. The last write wins; a null cursor
+    keeps the one there is."""
+    return upsert(old, new, ["target_id", "resource"], keep_null=True, seq=seq)
+
+
+def upsert_email_logins(old: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
+    """Logins of addresses, in lower case; the last write wins, a null login is a miss that is kept."""
+    return upsert(old, new.withColumn("email", F.lower("email")), ["email"], seq=seq)
+
+
+def set_cached_profiles(old: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
+    """Cached profiles by key; the last write wins."""
+    return upsert(old, new, ["cache_key"], seq=seq)
+
+
+def first_seen(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Of rows with one key the first, as a walk that remembers keys keeps them; null keys are out."""
+    return last_of(rows.filter(F.col(key).isNotNull()), [key], *order)
+
+
+def sync_notes(held: DataFrame, disk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, actions): notes (id, path, hash, text) after a folder (path, hash, text) was read. Known
+    paths get new text, a note whose content stands at a new path moves there under its id, others
+    are added or deleted. Of several notes that left with one content the least path moves to the
+    least new path, and so on."""
+    actions = note_actions(disk.select("path", "hash"), held.select("path", "hash"))
+    by = W.partitionBy("hash").orderBy("path")
+    left = held.join(actions.filter("action = 'moved away'").select("path"), "path", "left_semi").withColumn("_no", F.row_number().over(by))
+    arrived = disk.join(actions.filter("action = 'moved'").select("path"), "path", "left_semi").withColumn("_no", F.row_number().over(by))
+    moved = left.select("hash", "_no", "id").join(arrived, ["hash", "_no"]).select("id", "path", "hash", "text")
+    stay = disk.join(held.select("id", "path"), "path").select("id", "path", "hash", "text")
+    known = stay.unionByName(moved)
+    fresh = disk.join(known.select("path"), "path", "left_anti").select(F.lit(None).cast(held.schema["id"].dataType).alias("id"), "path", "hash", "text")
+    return with_ids(known.unionByName(fresh), held, ["path"]), actions
+
+
+#: The file in a table's folder that names its current version.
+POINTER = "CURRENT"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version of a table; None if there is none yet."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path}/{spark.read.text(at.toString()).first()[0]}" if fs.exists(at) else None
+
+
+def switch(spark: SparkSession, df: DataFrame, path: str, keep: int = 1) -> str:
+    """Write ``df`` as a new version of the table at ``path`` and point to it. The pointer is one small
+    file that a rename replaces, so readers see the old version or the new one, and a crash leaves
+    the old; of older versions ``keep`` stay for readers that are still at them. Gives the folder."""
     jvm = spark._jvm
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
     as_path = jvm.org.apache.hadoop.fs.Path
+    old, name = current(spark, path), f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
     fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(as_path(path)) and not fs.rename(as_path(path), as_path(old)):
-        raise OSError(f"{path} can't be moved away")
-    if not fs.rename(as_path(fresh), as_path(path)):
-        fs.rename(as_path(old), as_path(path))
-        raise OSError(f"{path} can't be put in place")
-    fs.delete(as_path(old), True)
+    fresh = as_path(f"{path}/_{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, as_path(f"{path}/{POINTER}"), overwrite)
+    versions = sorted((f.getModificationTime(), f.getPath().toString()) for f in fs.listStatus(as_path(path)) if f.getPath().getName().startswith("v-"))
+    stay = {name, *(os.path.basename(v) for _, v in versions[-1 - keep :])} | ({os.path.basename(old)} if old else set())
+    for _, version in versions:
+        if os.path.basename(version) not in stay:
+            fs.delete(as_path(version), True)
+    return f"{path}/{name}"
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that switch wrote."""
+    found = current(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(found)
 
 
 def migrate(old: DataFrame, columns: DataFrame) -> DataFrame:

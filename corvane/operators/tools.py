@@ -6,6 +6,7 @@ blank query has no rows."""
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,6 +94,34 @@ def vector_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int =
     return vector.knn(keyed.select("chunk_id", "embedding", "object"), queries, k)
 
 
+class VectorStore(Protocol):
+    """Where vectors are searched: hits are query_id, chunk_id, distance and rank."""
+
+    def search(self, corpus: Corpus, queries: DataFrame, filters: Filters, k: int) -> DataFrame: ...
+
+
+class FilterFirst:
+    """Exact: filters, then the nearest, copies made one."""
+
+    def search(self, corpus: Corpus, queries: DataFrame, filters: Filters, k: int = TOP) -> DataFrame:
+        return vector_search(corpus, queries, filters, k)
+
+
+class FilterLast:
+    """The nearest of all, then filters; copies stay, and there may be fewer than k."""
+
+    def search(self, corpus: Corpus, queries: DataFrame, filters: Filters, k: int = TOP) -> DataFrame:
+        return vector_search(corpus, queries, filters, k, mode="filter_last")
+
+
+def vector_store(name: str) -> VectorStore:
+    """The store of a name: ``exact`` or ``overfetch``."""
+    stores = {"exact": FilterFirst, "overfetch": FilterLast}
+    if name not in stores:
+        raise ValueError(f"unknown store {name}: one of {sorted(stores)}")
+    return stores[name]()
+
+
 def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int | None = TOP, coalesce: bool = True, expander: QueryExpander | None = None) -> DataFrame:
     """Best chunks of each query by BM25 among those that pass the filters, copies made one."""
     groups = text_index.expanded_queries(queries, expander) if expander else text_index.plain_queries(queries)

@@ -28,7 +28,7 @@ CLUSTER_MIN, CLUSTER_MAX, LANGUAGE_SHARE, QUOTES = 3, 100, 0.6, 3
 #: Pass rates of tiers, and chunk kinds of tools.
 TIERS = {1: 1.0, 2: 0.85, 3: 0.70}
 TOOL_KINDS = {"find_review_comments": "review_comment", "find_style_examples": "code", "find_code": "file", "find_applicable_rules": "code_rule"}
-#: Paths that aren't indexed.
+#: Paths that aren't indexed.
 EXCLUDED = ("*.lock", "*package-lock.json", "*yarn.lock", "*Cargo.lock", "*.min.js", "*.min.css", "*.d.ts", "*.bundle.js", "*.bundle.css", "*node_modules*", "vendor/*", "*/vendor/*", "dist/*", "*/dist/*", "build/*", "*/build/*")
 #: Version of the text that is embedded; vectors of older versions are made anew.
 EMBED_VERSION = 4

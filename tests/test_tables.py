@@ -111,11 +111,34 @@ def test_note_and_page_actions(spark):
 def test_streams_upsert_once(spark, tmp_path):
     src, table, mark = (str(tmp_path / x) for x in ("src", "table", "mark"))
     schema = "id long, v string, seq long"
-    spark.createDataFrame([(1, "old", 0)], schema).write.parquet(table)
+    assert sync.synced(spark, table) is None
     spark.createDataFrame([(1, "new", 1), (1, "newer", 2), (2, "b", 1)], schema).write.parquet(src)
     for _ in range(2):
         sync.sync_table(spark, spark.readStream.schema(schema).parquet(src), table, ["id"], mark, seq="seq").awaitTermination()
-        assert {r.id: r.v for r in spark.read.parquet(table).collect()} == {1: "newer", 2: "b"}
+        assert {r.id: r.v for r in sync.synced(spark, table).collect()} == {1: "newer", 2: "b"}
+    kept = {p: state.current(spark, str(p)) for p in (tmp_path / "table").iterdir()}
+    spark.createDataFrame([(2, "c", 2)], schema).write.mode("append").parquet(src)
+    sync.sync_table(spark, spark.readStream.schema(schema).parquet(src), table, ["id"], mark, seq="seq").awaitTermination()
+    assert {r.id: r.v for r in sync.synced(spark, table).collect()} == {1: "newer", 2: "c"}
+    assert sum(state.current(spark, str(p)) != v for p, v in kept.items()) == 1  # only the touched bucket
+
+
+def test_versions_are_switched_by_a_pointer(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        state.read_current(spark, path)
+    for k in range(4):
+        state.switch(spark, spark.range(k), path)
+        assert state.read_current(spark, path).count() == k
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_notes_are_synced(spark):
+    held = spark.createDataFrame([(1, "a", "1", "x"), (2, "b", "2", "y"), (3, "from", "3", "z"), (4, "gone", "4", "w")], "id long, path string, hash string, text string")
+    disk = spark.createDataFrame([("a", "1", "x"), ("b", "2b", "y2"), ("to", "3", "z"), ("new", "5", "v")], "path string, hash string, text string")
+    notes, actions = state.sync_notes(held, disk)
+    assert {(r.id, r.path, r.text) for r in notes.collect()} == {(1, "a", "x"), (2, "b", "y2"), (3, "to", "z"), (5, "new", "v")}
+    assert actions.count() == 6 and state.sync_notes(held, disk.limit(0))[0].count() == 0
 
 
 def test_streams_drop_repeats(spark, tmp_path):
