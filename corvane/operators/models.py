@@ -176,8 +176,13 @@ def cluster_code_chunks(chunks: DataFrame, artifacts: DataFrame, vectors: DataFr
     return _clustered("code", chunks, artifacts, vectors, author, repo, language)
 
 
-def _clustered(kind: str, chunks: DataFrame, artifacts: DataFrame, vectors: DataFrame, author: str | None, repo: str | None, language: str | None) -> DataFrame:
+def cluster_members(kind: str, chunks: DataFrame, artifacts: DataFrame, vectors: DataFrame, author: str | None = None, repo: str | None = None, language: str | None = None) -> DataFrame:
+    """chunk_id and embedding of chunks of a kind, and of an author, repository or language."""
     from corvane.operators.filters import Filters, candidate_ids
 
     ids = candidate_ids(chunks, artifacts, Filters(kind=kind, language=language, repo=repo, author=author))
-    return cluster.clusters(vectors.join(ids, "chunk_id").withColumn("scope", F.lit(kind)))
+    return vectors.select("chunk_id", "embedding").join(ids, "chunk_id")
+
+
+def _clustered(kind: str, chunks: DataFrame, artifacts: DataFrame, vectors: DataFrame, author: str | None, repo: str | None, language: str | None) -> DataFrame:
+    return cluster.clusters(cluster_members(kind, chunks, artifacts, vectors, author, repo, language).withColumn("scope", F.lit(kind)))

@@ -578,9 +578,9 @@ def sf8_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").filter("text is not null").select("id", F.size(scalars.word_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query(r"SELECT id, len(l) AS n_parts, l[1] AS first_part FROM (SELECT id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(symbol_name, '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[_-]+', '_', 'g'), '_'), lambda p: p <> '' AND p <> lower(symbol_name)))) AS l FROM chunk WHERE symbol_name IS NOT NULL)")
 def sf7_compounds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunk").filter("symbol_name is not null").select("id", scalars.compound_parts(F.col("symbol_name")).alias("parts"))
+    return table(spark, d, "chunk").filter("symbol_name is not null").select("id", scalars.compound_parts(F.col("symbol_name")).alias("parts")).select("id", F.size("parts").cast("long").alias("n_parts"), F.get("parts", F.lit(0)).alias("first_part"))
 
 
 @query(r"SELECT id, us FROM (SELECT *, epoch_us(TRY_CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN created_at ELSE created_at || '+00:00' END AS TIMESTAMPTZ)) AS us FROM artifact) WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})?$') AND us IS NOT NULL")
@@ -605,10 +605,9 @@ def sf26_headers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").select("id", scalars.header(F.col("kind"), F.col("context_json"), F.col("summary")).alias("header"))
 
 
-@query(r"SELECT id, regexp_replace(text, '(?i)bearer\s+[A-Za-z0-9._\-+/=]+', 'Bearer ***', 'g') AS masked FROM chunk WHERE regexp_matches(text, '(?i)bearer\s+[A-Za-z0-9._\-+/=]+')")
+@query(r"SELECT id, regexp_replace(regexp_replace(text, '(?i)bearer\s+[A-Za-z0-9._\-+/=]+', 'Bearer ***', 'g'), '(?i)(x-api-key[\x22'']?\s*[:=]\s*[\x22'']?)[A-Za-z0-9._\-+/=]+', '\1***', 'g') AS masked FROM chunk")
 def sf28_redact_log(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunk").filter(F.col("text").rlike(r"(?i)bearer\s+[A-Za-z0-9._\-+/=]+"))
-    return rows.select("id", scalars.redact_log(F.col("text")).alias("masked"))
+    return table(spark, d, "chunk").select("id", scalars.redact_log(F.col("text")).alias("masked"))
 
 
 # Chunkers
@@ -688,9 +687,11 @@ def up3_upsert_artifacts(spark: SparkSession, d: str) -> DataFrame:
     artifacts = table(spark, d, "artifact")
     keys = ["target_id", "kind", "external_id"]
     old = state.last_of(artifacts.filter("id % 10 <> 0"), keys, F.col("id"))
-    new = artifacts.filter("id % 10 = 0").withColumn("_seq", F.col("id"))
-    merged = state.upsert(old, new, keys, only=[c for c in old.columns if c not in (*keys, "id")], seq="_seq")
-    return merged.select(*keys, F.col("id").isNotNull().alias("known"), "decision")
+    new = artifacts.filter("id % 10 = 0").withColumn("_seq", F.col("id")).drop("id")
+    merged = state.upsert_artifacts(old, new, seq="_seq")
+    # What was known keeps its id, what is new has one after the greatest.
+    top = old.agg(F.max("id").alias("_top"))
+    return merged.crossJoin(F.broadcast(top)).select(*keys, (F.col("id") <= F.col("_top")).alias("known"), "decision")
 
 
 @query(
@@ -717,10 +718,13 @@ def up9_delete_scope(spark: SparkSession, d: str) -> DataFrame:
     return state.delete_target(4, table(spark, d, "target_scope"), table(spark, d, "repo"), table(spark, d, "artifact"), table(spark, d, "chunk"), vectors)[3].select("id")
 
 
-@query("SELECT id, CASE WHEN vec_id IS NOT NULL THEN 'label' ELSE embed_model END AS embed_model FROM chunk LEFT JOIN embeddings ON vec_id = id")
+@query("SELECT e.vec_id AS chunk_id, round(CASE WHEN e.vec_id % 2 = 0 THEN -e.embedding[1] ELSE e.embedding[1] END, 5) AS first_number, CASE WHEN e.vec_id % 2 = 0 THEN 'label' ELSE c.embed_model END AS embed_model FROM embeddings e JOIN chunk c ON c.id = e.vec_id")
 def up10_write_vectors(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return state.write_vectors(vectors.limit(0), table(spark, d, "chunk"), vectors, "label")[1].select("id", "embed_model")
+    """Vectors of even ids are replaced, and their chunks marked."""
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    new = old.filter("chunk_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    vectors, chunks = state.write_vectors(old, table(spark, d, "chunk"), new, "label")
+    return vectors.join(chunks.select(F.col("id").alias("chunk_id"), "embed_model"), "chunk_id").select("chunk_id", F.round(F.col("embedding")[0], 5).alias("first_number"), "embed_model")
 
 
 @query("WITH w AS (SELECT n.id, n.path, n.text FROM (SELECT c.id, json_extract_string(c.context_json, '$.path') AS path, c.text FROM chunk c WHERE c.kind = 'note' AND json_valid(c.context_json)) n WHERE path IS NOT NULL), e AS (SELECT path, min(text) AS text FROM w WHERE id % 3 <> 0 GROUP BY 1), h AS (SELECT path, max(text) AS text, max(id) % 5 <> 0 AS generated FROM w WHERE id % 3 <> 1 GROUP BY 1) SELECT coalesce(e.path, h.path) AS path, CASE WHEN h.path IS NULL THEN 'written' WHEN e.path IS NULL AND generated THEN 'removed' WHEN NOT generated THEN 'adopted' WHEN e.text = h.text THEN 'unchanged' ELSE 'written' END AS action FROM e FULL JOIN h ON h.path = e.path")
@@ -760,10 +764,10 @@ def so6_email_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "target_scope").filter("emails_json is not null").select("id", F.size(F.array_union(emails, F.array_except(emails, F.array().cast("array<string>")))).cast("long").alias("n"))
 
 
-@query(f"SELECT id, round(greatest(0, (epoch_us(TIMESTAMPTZ '{NOW}') - us) / 8.64e10), 6) AS days FROM (SELECT id, epoch_us(TRY_CAST(created_at AS TIMESTAMPTZ)) AS us, created_at FROM artifact WHERE regexp_matches(created_at, '^[0-9-]+T[0-9:]+Z$')) WHERE us IS NOT NULL")
+@query(r"SELECT id, round(greatest(0, (epoch_us(TIMESTAMPTZ '2026-06-01T00:00:00Z') - us) / 8.64e10), 6) AS days FROM (SELECT id, created_at, epoch_us(TRY_CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN created_at ELSE created_at || '+00:00' END AS TIMESTAMPTZ)) AS us FROM artifact) WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$') AND us IS NOT NULL")
 def sf13_age_days(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "artifact").filter(F.col("created_at").rlike("^[0-9-]+T[0-9:]+Z$"))
-    return rows.select("id", F.round(scalars.age_days(scalars.iso_timestamp(F.col("created_at")), F.to_timestamp(F.lit(NOW))), 6).alias("days")).filter("days is not null")
+    then = scalars.iso_timestamp(F.col("created_at"))
+    return table(spark, d, "artifact").select("id", F.round(scalars.age_days(then, F.to_timestamp(F.lit(NOW))), 6).alias("days")).filter("days is not null")
 
 
 @query("SELECT id, CASE WHEN w IN ('approved','changes_requested','commented') THEN w WHEN w IN ('changes','change','request_changes','request') THEN 'changes_requested' WHEN w = 'approve' THEN 'approved' WHEN w = 'comment' THEN 'commented' END AS decision FROM (SELECT id, regexp_replace(string_split(string_split(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), chr(10))[1], ' ')[1], '^[.,:;\"''`*]+|[.,:;\"''`*]+$', '', 'g') AS w FROM chunk WHERE kind = 'review_comment' AND text IS NOT NULL)")
@@ -989,3 +993,6 @@ def ud1_embedded(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Fused search for review comments."""
     return tools.find_review_comments(_corpus(spark, d), _asked(spark, d))
+
+
+from corvane.plans import more  # noqa: E402,F401  registers its queries here
