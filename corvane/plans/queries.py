@@ -299,11 +299,15 @@ def rt4_bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return text_index.bm25(posts, phrases, None, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+_OTHERS = ", ".join(f"('{w}', '{o}')" for w in dict.fromkeys(w for g in expand.SYNONYMS for w in g) for o in expand.alternates(w))
+_WIDE = _BM25.replace("qt AS (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS grp FROM asked)", f"syn(word, other) AS (VALUES {_OTHERS}), tk AS (SELECT query_id, unnest(terms) AS tok, generate_subscripts(terms, 1) AS grp FROM asked), qt AS (SELECT query_id, grp, tok AS term FROM tk UNION SELECT query_id, grp, other FROM tk JOIN syn ON syn.word = tk.tok UNION SELECT query_id, grp, part FROM (SELECT query_id, grp, tok, unnest(string_split(tok, '_')) AS part FROM tk) WHERE part <> '' AND part <> tok)").replace("need AS (SELECT query_id, count(*) AS n", "need AS (SELECT query_id, count(DISTINCT grp) AS n").replace("count(*) AS met", "count(DISTINCT qt.grp) AS met")
+
+
+@query(f"WITH {_KEYS}, {_TOK}, {_ASKED}, {_WIDE}, found AS (SELECT query_id, chunk_id, score AS v FROM bm), x AS {_dedup('found', 'round(v, 8), chunk_id', 10)} SELECT query_id, chunk_id, round(v, 6) AS score, rank FROM x")
 def rt6_expanded(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
     hits = tools.keyword_search(corpus, _asked(spark, d), filters.Filters(), 10, expander=expand.RuleExpander())
-    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{_fused('review_comment')} SELECT query_id, chunk_id, round(score, 9) AS score, round(1 - score, 9) AS distance, rank FROM rk WHERE rank <= 10")
@@ -600,7 +604,17 @@ def sf21_pull_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artifact").select("id", scalars.pull_number(F.col("source_url")).alias("pull")).filter("pull is not null")
 
 
-@query()
+_GET = {k: f"CASE WHEN json_valid(context_json) THEN json_extract_string(context_json, '$.{k}') END AS {k.replace('symbol_name', 'symbol').replace('leading_doc', 'doc')}" for k in ("path", "symbol_name", "node_kind", "leading_doc", "repo", "commit_sha", "pr_number", "title")}
+_LINE = "CASE WHEN {0} <> '' THEN '# ' || {0} || chr(10) ELSE '' END"
+
+
+@query(
+    f"WITH g AS (SELECT id, kind, summary, {', '.join(_GET.values()).replace('AS node_kind', 'AS node')} FROM chunk), h AS (SELECT *, array_to_string(list_filter([CASE WHEN repo <> '' THEN repo END, '#' || pr_number], lambda x: x IS NOT NULL), ' ') AS parts, CASE WHEN title <> '' THEN title ELSE path END AS named FROM g)"
+    f" SELECT id, CASE WHEN kind IN ('code', 'code_rule', 'file') THEN CASE WHEN symbol <> '' AND node <> '' THEN '# ' || CASE WHEN path <> '' THEN path ELSE '<unknown>' END || ' :: ' || symbol || ' (' || node || ')' || chr(10) || {_LINE.format('summary')} || {_LINE.format('doc')} || chr(10) WHEN path <> '' OR summary <> '' THEN {_LINE.format('path')} || {_LINE.format('summary')} || chr(10) ELSE '' END"
+    f" WHEN kind = 'commit_message' THEN CASE WHEN repo <> '' OR commit_sha <> '' THEN '# commit ' || CASE WHEN repo <> '' THEN repo ELSE '?' END || '@' || CASE WHEN commit_sha <> '' THEN left(commit_sha, 7) ELSE '?' END || chr(10) || {_LINE.format('summary')} || chr(10) ELSE '' END"
+    " WHEN kind = 'review_comment' THEN CASE WHEN parts <> '' THEN '# review on ' || parts || CASE WHEN path <> '' THEN ' (' || path || ')' ELSE '' END || chr(10) || chr(10) ELSE '' END"
+    " WHEN kind = 'note' THEN CASE WHEN named <> '' THEN '# note: ' || named || chr(10) || chr(10) ELSE '' END ELSE '' END AS header FROM h"
+)
 def sf26_headers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").select("id", scalars.header(F.col("kind"), F.col("context_json"), F.col("summary")).alias("header"))
 
@@ -775,7 +789,10 @@ def sf24_decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").filter("kind = 'review_comment' and text is not null").select("id", scalars.decision_of(F.col("text")).alias("decision"))
 
 
-@query()
+@query(
+    r"WITH a AS (SELECT id, coalesce(list_filter(list_transform(string_split_regex(summary, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], '') AS s FROM chunk WHERE summary IS NOT NULL), b AS (SELECT id, regexp_replace(s, '^(- )?(\* )?(• )?(1\. )?(Description: )?(Summary: )?', '') AS s FROM a), c AS (SELECT id, CASE WHEN length(s) >= 2 AND left(s, 1) = right(s, 1) AND left(s, 1) IN (chr(34), chr(39), '`') THEN s[2:-2] ELSE s END AS s FROM b)"
+    r" SELECT id, regexp_replace(CASE WHEN length(s) > 320 THEN regexp_replace(left(s, 320), ' [^ ]*$', '') || '…' ELSE s END, '^\s+|\s+$', '', 'g') AS summary FROM c"
+)
 def sf25_clean_summaries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").filter("summary is not null").select("id", scalars.clean_summary(F.col("summary")).alias("summary"))
 
@@ -826,7 +843,10 @@ def rk5_most_recent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artifact").orderBy(F.coalesce("created_at", F.lit("")).desc(), "id").limit(20).select("id")
 
 
-@query()
+_SIGNS = ", ".join(f"('{sign}', '{language}')" for sign, language in languages.BY_SIGN.items())
+
+
+@query(f"WITH m(sign, language) AS (VALUES {_SIGNS}), n AS (SELECT id, regexp_extract(coalesce(CASE WHEN json_valid(context_json) THEN json_extract_string(context_json, '$.path') END, 'unknown'), '[^/]*$') AS name FROM chunk WHERE kind = 'review_comment') SELECT n.id, coalesce(a.language, b.language) AS language FROM n LEFT JOIN m a ON a.sign = n.name LEFT JOIN m b ON b.sign = regexp_extract(n.name, '[.][^.]*$')")
 def sf23_diff_language(spark: SparkSession, d: str) -> DataFrame:
     path = F.coalesce(F.get_json_object("context_json", "$.path"), F.lit("unknown"))
     rows = table(spark, d, "chunk").filter("kind = 'review_comment'").select("id", F.concat(F.lit("+++ b/"), path, F.lit("\n")).alias("diff"))
@@ -945,7 +965,10 @@ def ds4_recent_comments(spark: SparkSession, d: str) -> DataFrame:
     return rules.recent_comments(table(spark, d, "chunk"), table(spark, d, "artifact"), limit=None).select("id", "author_login", "created_at")
 
 
-@query()
+@query(
+    "WITH a AS (SELECT * FROM artifact WHERE kind = 'review_comment' QUALIFY row_number() OVER (PARTITION BY kind, external_id ORDER BY target_id NULLS FIRST, id) = 1), r AS (SELECT a.author_login, c.id, left(c.text, 600) AS t FROM chunk c JOIN a ON a.id = c.artifact_id WHERE c.kind = 'review_comment' AND a.author_login IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.author_login ORDER BY coalesce(a.created_at, '') DESC, c.id) <= 50)"
+    " SELECT author_login, '# ' || author_login || chr(10) || chr(10) || coalesce(string_agg('> ' || t, chr(10) || chr(10) ORDER BY id), '') AS profile_md, count(*) AS n_samples, sha1(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS sample_hash FROM r GROUP BY author_login"
+)
 def ds5_developer_profiles(spark: SparkSession, d: str) -> DataFrame:
     return rules.developer_profile(table(spark, d, "chunk"), table(spark, d, "artifact"))
 
@@ -960,7 +983,13 @@ def ev2_held_out_pulls(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.held_out_pulls(table(spark, d, "artifact"), table(spark, d, "chunk"), SINCE).select("artifact_id", "chunk_id", "truth")
 
 
-@query()
+_EVERY = _fused("review_comment").replace("c.kind = 'review_comment' AND ", "").replace(" WHERE c.kind = 'review_comment'", "")
+
+
+@query(
+    f"{_EVERY}, nv AS (SELECT a.query_id, c.id AS chunk_id, list_distance(CAST(e.embedding AS DOUBLE[]), a.qv) AS v FROM asked a, embeddings e JOIN chunk c ON c.id = e.vec_id), vv AS {_dedup('nv', 'round(v, 9), chunk_id', 5)}, hit AS (SELECT query_id, chunk_id, 'vector' AS mode FROM vv UNION ALL SELECT query_id, chunk_id, 'bm25' FROM bl WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 'hybrid' FROM rk WHERE rank <= 5), ok AS (SELECT DISTINCT query_id, mode FROM hit WHERE chunk_id = query_id), q AS (SELECT query_id, 1 + query_id % 3 AS tier, m.mode FROM asked CROSS JOIN (VALUES ('vector'), ('bm25'), ('hybrid')) m(mode))"
+    " SELECT q.tier, q.mode, count(*) FILTER (ok.query_id IS NOT NULL) AS passed, count(*) AS total FROM q LEFT JOIN ok ON ok.query_id = q.query_id AND ok.mode = q.mode GROUP BY ROLLUP (q.tier, q.mode)"
+)
 def ev3_search_quality(spark: SparkSession, d: str) -> DataFrame:
     corpus, asked = _corpus(spark, d), _asked(spark, d)
     found = None
