@@ -56,14 +56,14 @@ class Corpus:
     def stored(self) -> Corpus:
         """The same with its index written: the keyword index, lengths, keys, and the vectors with the
         key and all that filters ask for beside them, so that a search joins and moves no vectors."""
-        posts = durable(text_index.index(text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)), "index")
-        lengths = durable(text_index.sizes_of(self.chunks, "id", "text", self.ascii_only), "lengths")
-        copies = durable(fusion.hit_keys(self.chunks, self.artifacts), "copies")
+        posts = durable(text_index.index(text_index.postings(self.chunks, "id", "text", self.stem, self.ascii_only)), "index", True)
+        lengths = durable(text_index.sizes_of(self.chunks, "id", "text", self.ascii_only), "lengths", True)
+        copies = durable(fusion.hit_keys(self.chunks, self.artifacts), "copies", True)
         chunks = self.chunks.select(F.col("id").alias("chunk_id"), "artifact_id", "kind", "language", "node_kind")
         made_by = self.artifacts.select(F.col("id").alias("artifact_id"), "repo", "author_login", "target_id")
         facts = chunks.join(made_by, "artifact_id", "left").join(copies.select("chunk_id", "object"), "chunk_id", "left").drop("artifact_id")
-        vectors = durable(self.vectors.select("chunk_id", "embedding").join(facts.withColumn("known", F.lit(True)), "chunk_id", "left"), "vectors")
-        return replace(self, vectors=vectors, posts=posts, lengths=lengths, copies=copies, texts=durable(self.n_texts().toDF("n"), "texts"))
+        vectors = durable(self.vectors.select("chunk_id", "embedding").join(facts.withColumn("known", F.lit(True)), "chunk_id", "left"), "vectors", True)
+        return replace(self, vectors=vectors, posts=posts, lengths=lengths, copies=copies, texts=durable(self.n_texts().toDF("n"), "texts", True))
 
 
 def require_data(corpus: Corpus) -> None:

@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_lasting: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,28 +26,46 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"corvane-{os.getuid()}")
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
+def durable(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: what follows does not recompute it,
-    and it outlives the loss of any executor. The folder goes when the driver process ends."""
+    and it outlives the loss of any executor. The folder goes when the driver process ends, and one
+    that isn't ``lasting`` with the ``scratch`` it was written in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
+    if not _written and not _lasting:
         atexit.register(drop_all)
-    _written.append((spark, path))
+    (_lasting if lasting else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_all() -> None:
-    """Remove the tables of this process; what is already gone is no error."""
-    for spark, path in _written:
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may already have ended
             pass
+
+
+def drop_all() -> None:
+    """Remove the tables of this process; what is already gone is no error."""
+    _drop(_written + _lasting)
     _written.clear()
+    _lasting.clear()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes, at its end, the intermediate tables that were written within: for sessions that run many
+    queries. A query's result must be written or collected before."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        _drop(_written[begin:])
+        del _written[begin:]
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
