@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from corvane.runtime import arrow_rows
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Texts that are encoded at once in a worker.
-BATCH = 256
+#: Texts, and bytes of texts, that are encoded at once in a worker.
+BATCH, BATCH_BYTES = 256, 1 << 23
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +39,19 @@ def load(path: str):
     return tokenizer
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, count) of slices of few texts and bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > begin and (at - begin >= BATCH or held + size > BATCH_BYTES):
+            yield begin, at - begin
+            begin, held = at, 0
+        held += size
+    if len(sizes) > begin:
+        yield begin, len(sizes) - begin
+
+
 def _lists(values: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
     flat = np.fromiter((x for v in values for x in v), dtype=np.int32, count=int(ends[-1]))
@@ -55,8 +69,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
         tokenizer = load(path)
         call = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for at, count in _slices(batch.column(1)):
+                part = batch.slice(at, count)
                 found = call([x or "" for x in part.column(1).to_pylist()], add_special_tokens=False)
                 columns = [part.column(0), *part.columns[2:], _lists([e.ids for e in found])]
                 names = [id_col, *keep, "ids"]

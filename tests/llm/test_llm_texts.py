@@ -20,6 +20,15 @@ def test_tokens_come_back(spark):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0 and tokens.decode_ids(None) is None
 
 
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "b" * (tokens.BATCH_BYTES + 1), "c"] + ["d"] * 600)
+    found = list(tokens._slices(texts))
+    assert found[:2] == [(0, 2), (2, 1)] and sum(n for _, n in found) == len(texts) and max(n for _, n in found) <= tokens.BATCH
+    assert list(tokens._slices(pa.array([], pa.string()))) == []
+
+
 def _docs(seed, n):
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(400)]
