@@ -92,6 +92,14 @@ def expanded_queries(queries: DataFrame, expander: QueryExpander, text_col: str
     return queries.select("query_id", groups(F.col(text_col)).alias("groups"))
 
 
+def expression(groups: Column) -> Column:
+    """Groups as a keyword expression: words quoted, those of a group joined by OR in parentheses,
+    groups by AND; no group gives ``""``."""
+    quoted = lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))
+    said = F.transform(groups, lambda g: F.when(F.size(g) > 1, F.concat(F.lit("("), F.array_join(F.transform(g, quoted), " OR "), F.lit(")"))).otherwise(quoted(F.get(g, F.lit(0)))))
+    return F.when(F.size(groups) > 0, F.array_join(said, " AND ")).otherwise('""')
+
+
 def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase, chunk_id and f: how often each distinct phrase stands in each text. ``posts`` as postings
     or index gives them."""

@@ -1024,4 +1024,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return tools.find_review_comments(_corpus(spark, d), _asked(spark, d))
 
 
-from corvane.plans import more  # noqa: E402,F401  registers its queries here
+from corvane.plans import more, parts  # noqa: E402,F401  they register their queries here
