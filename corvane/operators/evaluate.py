@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scalars import is_blank
 from corvane.operators.filters import held_out, matches_glob
 from corvane.operators.fusion import hit_rows
-from corvane.operators.tools import Corpus, hybrid_search, keyword_search, vector_search
+from corvane.operators.tools import Corpus, all_modes
 from corvane.schema import DECISIONS, OVER_GLOB, TIERS, TOP
 
 
@@ -118,13 +118,9 @@ def run_bank(corpus: Corpus, entries: list[dict], queries: DataFrame, modes: tup
     for (wanted, glob), members in groups.items():
         asked = queries.filter(F.col("query_id").isin(*(e["query_id"] for e in members)))
         fetch = k * OVER_GLOB if glob else k
+        found_by = all_modes(corpus, asked, wanted, fetch, half_life_days=half_life_days, now=now)
         for mode in modes:
-            if mode == "vector":
-                hits = vector_search(corpus, asked, wanted, fetch)
-            elif mode == "bm25":
-                hits = keyword_search(corpus, asked, wanted, fetch)
-            else:
-                hits = hybrid_search(corpus, asked, wanted, fetch, half_life_days=half_life_days, now=now)
+            hits = found_by[mode]
             rows = hit_rows(hits.select("query_id", "chunk_id", "rank"), corpus.chunks, corpus.artifacts, corpus.targets).withColumns({"path": F.get_json_object("context_json", "$.path"), "url": F.col("source_url")})
             if glob:
                 rows = rows.filter(F.coalesce(matches_glob(F.col("path"), glob), F.lit(False)))

@@ -138,6 +138,17 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int |
     return fusion.fuse(near, words, corpus.keys(), k, half_life_days, now)
 
 
+def all_modes(corpus: Corpus, queries: DataFrame, filters: Filters, k: int = TOP, fetch: int = FETCH, half_life_days: float | None = None, now: str | None = None) -> dict[str, DataFrame]:
+    """Hits of the modes vector, bm25 and hybrid. Each search runs once and is kept for the fused mode,
+    in which alone the half-life counts and blank queries have no hits."""
+    near = durable(vector_search(corpus, queries, filters, max(fetch, k)), "near")
+    words = durable(keyword_search(corpus, queries, filters, max(fetch, k)), "words")
+    asked = queries.filter(~is_blank(F.col("query"))).select("query_id")
+    legs = [leg.filter(F.col("rank") <= fetch).join(asked, "query_id", "left_semi") for leg in (near, words)]
+    fused = fusion.fuse(*legs, corpus.keys(), k, half_life_days, now)
+    return {"vector": near.filter(F.col("rank") <= k), "bm25": words.filter(F.col("rank") <= k), "hybrid": fused}
+
+
 def _context(key: str) -> Column:
     return F.get_json_object("context_json", f"$.{key}")
 

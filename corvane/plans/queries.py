@@ -257,8 +257,8 @@ def jn11_note_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOK} SELECT (SELECT count(*) FROM tf) AS n_postings, (SELECT count(DISTINCT term) FROM tf) AS n_terms, CAST((SELECT sum(len) FROM dl) AS BIGINT) AS n_places, (SELECT count(*) FROM embeddings e JOIN chunk c ON c.id = e.vec_id) AS n_vectors")
 def rt0_index(spark: SparkSession, d: str) -> DataFrame:
-    """Writes the index of a corpus, which the searches below read."""
-    corpus = _plain_corpus(spark, d).stored()
+    """Writes the index of a corpus, where that isn't done yet; the searches below read it."""
+    corpus = _corpus(spark, d)
     posts = corpus.postings().agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"))
     return posts.crossJoin(corpus.sizes().agg(F.sum("len").alias("n_places"))).crossJoin(corpus.vectors.agg(F.count_if("known").alias("n_vectors")))
 
@@ -993,7 +993,7 @@ _EVERY = _fused("review_comment").replace("c.kind = 'review_comment' AND ", "").
 def ev3_search_quality(spark: SparkSession, d: str) -> DataFrame:
     corpus, asked = _corpus(spark, d), _asked(spark, d)
     found = None
-    for mode, hits in (("vector", tools.vector_search(corpus, asked, filters.Filters())), ("bm25", tools.keyword_search(corpus, asked, filters.Filters())), ("hybrid", tools.hybrid_search(corpus, asked, filters.Filters()))):
+    for mode, hits in tools.all_modes(corpus, asked, filters.Filters()).items():
         rows = hits.groupBy("query_id").agg(F.max(F.col("chunk_id") == F.col("query_id")).alias("passed")).withColumn("mode", F.lit(mode))
         found = rows if found is None else found.unionByName(rows)
     modes = asked.select("query_id", (1 + F.col("query_id") % 3).alias("tier"), F.explode(F.array(*map(F.lit, ("vector", "bm25", "hybrid")))).alias("mode"))
