@@ -9,6 +9,11 @@ GO = 'package x\n\n// Keep keeps.\nfunc (s *A) Keep(x int) error {\n\tif s := "}
 RS = "/// Joins.\n#[inline]\npub fn join<'a>(x: &'a str) -> u64 {\n    let c = '{';\n    1\n}\nimpl Show for A {\n    fn show(&self) {}\n}\n"
 TS = "/* function no() { } */\nexport class A {\n  // Runs.\n  async run(x: number): Promise<void> {\n    if (x) { go(); }\n  }\n}\nconst f = (a) => {\n  return a;\n};\n"
 
+WIDE_TS = '\nimport x from "y";\nconst re = /[{"]\\\\/}/g;\nconst s = `a ${b ? `c { ${d}` : "}"} e`;\n// Runs it.\nexport default async function* gen(a, {b, c} = {}) { return a / b / c; }\nfunction over(a: string): void;\nfunction over(a: { x: number }): { y: string } { const inner = () => { function deep() {} }; return { y: "" }; }\nexport abstract class A<T extends {a: 1}> extends B.C<T> implements D {\n  x = () => { foo(); };\n  private readonly y: number = 3;\n  constructor(private z: string) { super(); }\n  get v(): number { return 1 }\n  static async *[Symbol.iterator]() { }\n  abstract m(): void;\n  #hid<T>(a: T): T { if (a) { call(a); } return a; }\n}\ninterface I extends J { a(): void }\nexport type U =\n  | { kind: "a" }\n  | { kind: "b" };\ntype V = string\nconst f = async <T,>(a: T): Promise<T> => {\n  return a;\n};\nexport const g = (a) => a + 1;\nconst o = { run() { return 1; }, go: function () { }, h: (x) => x };\nenum E { A, B }\n'
+WIDE_GO = 'package p\n// Keep keeps.\nfunc (s *A[T]) Keep(x int, f func() error) (int, error) {\n\tif s := `}"`; s != "" { }\n\treturn 0, nil\n}\nfunc Gen[T any](m map[string]struct{}) map[string]struct{} { return m }\nfunc ext(a int) int\ntype A struct {\n\tx int\n}\ntype (\n\tB int\n\tC interface{ Do() }\n)\ntype D = map[string]int\nvar v = func() { }\n'
+WIDE_RS = '/// Joins.\n#[inline]\npub(crate) async unsafe fn join<\'a, T: Into<String>>(x: &\'a str, c: char) -> Result<impl Fn() -> u8, E> where T: X {\n    let c = \'{\'; let r = r#"}"#; /* a /* b */ } */\n    fn nested() {}\n    1\n}\npub struct P(u8, u8);\nstruct Q<T> { a: T }\npub enum E { A { x: u8 }, B }\nunsafe trait T: Send { fn sig(&self); fn def(&self) -> u8 { 1 } }\nimpl<\'a, T> fmt::Display for Wrap<\'a, T> where T: X {\n    fn fmt(&self) {}\n}\nimpl Plain { }\nextern "C" fn ext(a: u8) -> u8 { a }\n'
+WIDE_SC = 'package a\nobject Main extends App {\n  // Adds.\n  override def add(a: Int)(implicit b: B): Int = {\n    val x = s"${a} }"\n    a\n  }\n  def short(x: Int) = x + 1\n  def abs(x: Int): Int\n  private[pkg] def multi(x: Int): Int =\n    x match {\n      case 1 => 2\n    }\n  def `odd name` = 1\n}\ncase class P(a: Int, b: String)\nsealed trait T { def m: Int }\nclass Q(x: Int) extends P(1, "{") with T {\n  val c = \'{\'\n}\n'
+
 
 def test_definitions_with_braces():
     told = lambda t, lang: [(a, b, k, s) for a, b, k, s, _ in syntax.brace_nodes(t, lang)]
@@ -19,6 +24,17 @@ def test_definitions_with_braces():
     assert syntax.brace_nodes(None, "go") is None and syntax.brace_nodes("x", "cobol") is None and syntax.brace_nodes("", "go") == []
 
 
+def test_declarations_of_wide_samples():
+    told = lambda t, lang: [x[:4] for x in syntax.brace_nodes(t, lang)]
+    assert told(WIDE_TS, 'typescript') == [(6, 6, 'generator_function_declaration', 'gen'), (7, 7, 'function_declaration', 'over'), (8, 8, 'function_declaration', 'over'), (8, 8, 'function_declaration', 'deep'), (9, 17, 'abstract_class_declaration', 'A'), (12, 12, 'method_definition', 'constructor'), (13, 13, 'method_definition', 'v'), (16, 16, 'method_definition', '#hid'), (18, 18, 'interface_declaration', 'I'), (19, 21, 'type_alias_declaration', 'U'), (22, 22, 'type_alias_declaration', 'V'), (23, 25, 'variable_declarator', 'f'), (26, 26, 'variable_declarator', 'g'), (27, 27, 'method_definition', 'run')]
+    assert told(WIDE_GO, 'go') == [(3, 6, 'method_declaration', 'Keep'), (7, 7, 'function_declaration', 'Gen'), (9, 11, 'type_declaration', 'A'), (12, 15, 'type_declaration', 'B'), (16, 16, 'type_declaration', 'D')]
+    assert told(WIDE_RS, 'rust') == [(3, 7, 'function_item', 'join'), (5, 5, 'function_item', 'nested'), (8, 8, 'struct_item', 'P'), (9, 9, 'struct_item', 'Q'), (10, 10, 'enum_item', 'E'), (11, 11, 'trait_item', 'T'), (11, 11, 'function_item', 'def'), (12, 14, 'impl_item', 'Wrap'), (13, 13, 'function_item', 'fmt'), (15, 15, 'impl_item', 'Plain'), (16, 16, 'function_item', 'ext')]
+    assert told(WIDE_SC, 'scala') == [(2, 15, 'object_definition', 'Main'), (4, 7, 'function_definition', 'add'), (8, 8, 'function_definition', 'short'), (9, 9, 'function_declaration', 'abs'), (10, 13, 'function_definition', 'multi'), (14, 14, 'function_definition', 'odd name'), (16, 16, 'class_definition', 'P'), (17, 17, 'trait_definition', 'T'), (17, 17, 'function_declaration', 'm'), (18, 20, 'class_definition', 'Q')]
+    assert all(syntax.brace_nodes(WIDE_TS[:k], "typescript") is not None for k in range(0, len(WIDE_TS), 7))
+    assert [x[4] for x in syntax.brace_nodes(WIDE_RS, "rust")][:2] == ["/// Joins.", ""]
+    assert syntax.brace_nodes("((((" * 20_000, "go") == [] and syntax.brace_nodes("a < b; " * 20_000, "typescript") == []
+
+
 def test_languages(spark):
     assert [languages.of_name(n) for n in ("a.py", "b.tsx", "c.json", "d.md", "Makefile", "x.unknown", "", "e.sh")] == ["python", "tsx", None, None, "make", None, None, "shell"]
     df = spark.createDataFrame([("a/b.rs",), (None,), ("",)], "p string")
