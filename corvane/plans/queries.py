@@ -530,7 +530,17 @@ def ag13_signature(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy("label").agg(rules.sample_signature(F.collect_list("vec_id")).alias("signature"))
 
 
-@query()
+def _markdown(kind: str, title: str) -> str:
+    rows = f"(SELECT c.id, c.text AS rule, c.language, c.context_json FROM chunk c JOIN (SELECT id FROM artifact WHERE kind = 'rule' QUALIFY row_number() OVER (PARTITION BY kind, external_id ORDER BY target_id NULLS FIRST, id) = 1) a ON a.id = c.artifact_id WHERE c.kind = '{kind}' ORDER BY c.id LIMIT 50)"
+    quotes = "coalesce(array_to_string(list_transform(CASE WHEN json_valid(context_json) THEN CAST(json_extract(context_json, '$.examples') AS VARCHAR[]) END, lambda q: chr(10) || '  > ' || q), ''), '')"
+    section = f"SELECT language, '## ' || coalesce(language, 'General') || chr(10) || chr(10) || string_agg('- ' || rule || {quotes}, chr(10) ORDER BY id) AS s FROM {rows} GROUP BY language"
+    return f"(SELECT '# {title}' || chr(10) || chr(10) || coalesce(string_agg(s, chr(10) || chr(10) ORDER BY language IS NULL, language), '') FROM ({section}))"
+
+
+_N_RULES = "(SELECT count(*) FROM (SELECT c.id FROM chunk c JOIN (SELECT id FROM artifact WHERE kind = 'rule' QUALIFY row_number() OVER (PARTITION BY kind, external_id ORDER BY target_id NULLS FIRST, id) = 1) a ON a.id = c.artifact_id WHERE c.kind = '{0}' LIMIT 50))"
+
+
+@query(f"SELECT {_markdown('rule', 'Review rules')} || chr(10) || chr(10) || {_markdown('code_rule', 'Code rules')} AS markdown, {_N_RULES.format('rule')} AS review_rules, {_N_RULES.format('code_rule')} AS code_rules")
 def ag28_house_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.house_rules(table(spark, d, "chunk"), table(spark, d, "artifact"))
 
