@@ -788,10 +788,10 @@ def so6_email_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "target_scope").filter("emails_json is not null").select("id", F.size(F.array_union(emails, F.array_except(emails, F.array().cast("array<string>")))).cast("long").alias("n"))
 
 
-@query(r"SELECT id, round(greatest(0, (epoch_us(TIMESTAMPTZ '2026-06-01T00:00:00Z') - us) / 8.64e10), 6) AS days FROM (SELECT id, created_at, epoch_us(TRY_CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN created_at ELSE created_at || '+00:00' END AS TIMESTAMPTZ)) AS us FROM artifact) WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$') AND us IS NOT NULL")
+@query(r"SELECT id, greatest(0, (epoch_us(TIMESTAMPTZ '2026-06-01T00:00:00Z') - us) / 8.64e10) AS days FROM (SELECT id, created_at, epoch_us(TRY_CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN created_at ELSE created_at || '+00:00' END AS TIMESTAMPTZ)) AS us FROM artifact) WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$') AND us IS NOT NULL")
 def sf13_age_days(spark: SparkSession, d: str) -> DataFrame:
     then = scalars.iso_timestamp(F.col("created_at"))
-    return table(spark, d, "artifact").select("id", F.round(scalars.age_days(then, F.to_timestamp(F.lit(NOW))), 6).alias("days")).filter("days is not null")
+    return table(spark, d, "artifact").select("id", scalars.age_days(then, F.to_timestamp(F.lit(NOW))).alias("days")).filter("days is not null")
 
 
 @query("SELECT id, CASE WHEN w IN ('approved','changes_requested','commented') THEN w WHEN w IN ('changes','change','request_changes','request') THEN 'changes_requested' WHEN w = 'approve' THEN 'approved' WHEN w = 'comment' THEN 'commented' END AS decision FROM (SELECT id, regexp_replace(string_split(string_split(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), chr(10))[1], ' ')[1], '^[.,:;\"''`*]+|[.,:;\"''`*]+$', '', 'g') AS w FROM chunk WHERE kind = 'review_comment' AND text IS NOT NULL)")
