@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import age_days, iso_timestamp
+from corvane.runtime import unsent
 from corvane.schema import DECAYING, RRF_K
 
 
@@ -45,7 +46,7 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, keys: DataFrame, k: in
     score = F.coalesce(1.0 / (F.lit(float(RRF_K)) + F.col("vector_rank")), F.lit(0.0)) + F.coalesce(1.0 / (F.lit(float(RRF_K)) + F.col("keyword_rank")), F.lit(0.0))
     both = both.withColumn("score", score)
     if half_life_days and half_life_days > 0:
-        both = both.join(keys.select("chunk_id", "artifact_kind", "created_at"), "chunk_id", "left")
+        both = both.join(unsent(keys.select("chunk_id", "artifact_kind", "created_at")), "chunk_id", "left")
         then = iso_timestamp(F.col("created_at"))
         aged = F.col("score") * F.pow(F.lit(0.5), age_days(then, F.to_timestamp(F.lit(now))) / half_life_days)
         both = both.withColumn("score", F.when(F.col("artifact_kind").isin(*DECAYING) & then.isNotNull(), aged).otherwise(F.col("score")))

@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 
 from corvane.functions.expand import QueryExpander
 from corvane.functions.porter import stem as porter
-from corvane.runtime import durable
+from corvane.runtime import durable, unsent
 from corvane.schema import B, IDF_FLOOR, K1, TOP
 
 _TERM = r"[\p{L}\p{N}\p{M}_]+"
@@ -135,19 +135,19 @@ def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = No
     first = W.partitionBy("query_id").orderBy("_cost", "grp")
     groups = groups.select("query_id", "grp", F.row_number().over(first).alias("_no"), F.count("*").over(W.partitionBy("query_id")).alias("_groups"))
     rarest = asked.join(groups.filter("_no = 1").select("query_id", "grp", "_groups"), ["query_id", "grp"])
-    pairs = rarest.select("query_id", "phrase", "_groups").join(hits.select("phrase", "chunk_id"), "phrase").select("query_id", "chunk_id", "_groups").distinct()
+    pairs = rarest.select("query_id", "phrase", "_groups").join(unsent(hits.select("phrase", "chunk_id")), "phrase").select("query_id", "chunk_id", "_groups").distinct()
     if candidates is not None:
-        pairs = pairs.join(candidates, "chunk_id", "left_semi")
-    full = pairs.join(asked, "query_id").join(hits, ["phrase", "chunk_id"])
+        pairs = pairs.join(unsent(candidates), "chunk_id", "left_semi")
+    full = pairs.join(asked, "query_id").join(unsent(hits), ["phrase", "chunk_id"])
     idf = F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     # The statistics are one row.
-    full = full.join(sizes, "chunk_id").crossJoin(F.broadcast(total)).withColumn("_idf", F.when(idf <= 0, IDF_FLOOR).otherwise(idf))
+    full = full.join(unsent(sizes), "chunk_id").crossJoin(F.broadcast(total)).withColumn("_idf", F.when(idf <= 0, IDF_FLOOR).otherwise(idf))
     part = F.col("_idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
     # A phrase that stands in several groups of a query counts in each of them.
     scored = full.groupBy("query_id", "chunk_id", "_groups").agg((-F.sum(part)).alias("score"), F.count_distinct("grp").alias("_met")).filter("_met = _groups")
     if objects is not None:
         best = F.min(F.struct(F.round("score", 8).alias("_round"), "chunk_id", "score")).alias("_best")
-        scored = scored.join(objects.select("chunk_id", "object"), "chunk_id").groupBy("query_id", "object").agg(best).select("query_id", "_best.chunk_id", "_best.score")
+        scored = scored.join(unsent(objects.select("chunk_id", "object")), "chunk_id").groupBy("query_id", "object").agg(best).select("query_id", "_best.chunk_id", "_best.score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 8), "chunk_id"))
     ranked = scored.select("query_id", "chunk_id", "score").withColumn("rank", rank)
     return ranked if k is None else ranked.filter(F.col("rank") <= k)

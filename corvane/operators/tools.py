@@ -16,7 +16,7 @@ from corvane.functions.expand import QueryExpander
 from corvane.functions.scalars import is_blank, truncated
 from corvane.operators import fusion, text_index, vector
 from corvane.operators.filters import Filters, candidate_ids, matches_glob
-from corvane.runtime import durable
+from corvane.runtime import durable, unsent
 from corvane.schema import DECISIONS, FETCH, OVER_GLOB, TOP, TOP_VOTE
 
 
@@ -61,8 +61,8 @@ class Corpus:
         copies = durable(fusion.hit_keys(self.chunks, self.artifacts), "copies", True)
         chunks = self.chunks.select(F.col("id").alias("chunk_id"), "artifact_id", "kind", "language", "node_kind")
         made_by = self.artifacts.select(F.col("id").alias("artifact_id"), "repo", "author_login", "target_id")
-        facts = chunks.join(made_by, "artifact_id", "left").join(copies.select("chunk_id", "object"), "chunk_id", "left").drop("artifact_id")
-        vectors = durable(self.vectors.select("chunk_id", "embedding").join(facts.withColumn("known", F.lit(True)), "chunk_id", "left"), "vectors", True)
+        facts = chunks.join(unsent(made_by), "artifact_id", "left").join(unsent(copies.select("chunk_id", "object")), "chunk_id", "left").drop("artifact_id")
+        vectors = durable(self.vectors.select("chunk_id", "embedding").join(unsent(facts.withColumn("known", F.lit(True))), "chunk_id", "left"), "vectors", True)
         return replace(self, vectors=vectors, posts=posts, lengths=lengths, copies=copies, texts=durable(self.n_texts().toDF("n"), "texts", True))
 
 
