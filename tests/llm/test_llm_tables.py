@@ -261,3 +261,13 @@ def test_posteriors_tell_domains(spark):
     rows = [(k, "alpha beta gamma" if k % 2 else "delta eps zeta", ["a", "b"][k % 2]) for k in range(60)] + [(100, "beta alpha", None), (101, "zeta", None), (102, None, None)]
     p = {r.doc_id: r.p for r in mix.memberships(spark.createDataFrame(rows, "doc_id long, text string, domain string"), ["a", "b"]).collect()}
     assert p[100][1] > 0.9 and p[101][0] > 0.9 and sum(p[102]) == pytest.approx(1)
+
+
+def test_the_order_counts_every_text(spark):
+    texts = spark.createDataFrame([(f"alpha beta alpha w{k}",) for k in range(40)] + [(None,), ("",)], "text string")
+    counts = history.order_of(texts, texts.limit(0))
+    place = lambda w: history.tokens(w.split())[-1] % history.COUNTERS
+    assert counts.sum() == 160 and [counts[place(w)] >= 40 for w in ("alpha", "alpha alpha", "beta")] == [True] * 3
+    row = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "id long, text string")
+    slots = lambda n: {w.k for w in history.fingerprints(row, "id", "text", order=np.full(history.COUNTERS, n)).first().words}
+    assert slots(history.SLOT - 1) == {1} and slots(8 * history.SLOT) == {9}
