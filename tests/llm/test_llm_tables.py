@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,16 @@ def test_the_order_counts_every_text(spark):
     row = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "id long, text string")
     slots = lambda n: {w.k for w in history.fingerprints(row, "id", "text", order=np.full(history.COUNTERS, n)).first().words}
     assert slots(history.SLOT - 1) == {1} and slots(8 * history.SLOT) == {9}
+
+
+def test_pairs_and_batches_of_groups_are_bounded(spark):
+    signs = history.signature(history.tokens([f"w{k}" for k in range(20)]))
+    row = lambda own, seq: {"own": own, "seq": seq, "n": 20, **dict(zip(history._SIGNATURE, signs)), "whole": False}
+    kind = pa.list_(pa.struct([*((c, pa.int64()) for c in ("own", "seq", "n", *history._SIGNATURE)), ("whole", pa.bool_())]))
+    held, asked = [row(k, k) for k in range(700)], [row(k, k) for k in range(1000, 1700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([asked, asked], kind), pa.array([held, held], kind)], names=["_asked", "_rows"])
+    out = [b.num_rows for b in history._told(iter([batch]))]
+    assert sum(out) == 2 * 700 * 700 and max(out) <= 2 * history.CELLS
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    history.fingerprints(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
