@@ -142,7 +142,7 @@ def _sent(plan):
     return out
 
 
-@pytest.mark.parametrize("name", ["rt7_hybrid", "rt12_find_code", "rt11_find_style_examples"])
+@pytest.mark.parametrize("name", ["rt7_hybrid", "rt12_find_code", "rt11_find_style_examples", "rt13_find_applicable_rules"])
 def test_searches_broadcast_no_table_of_the_corpus(spark, data, name):
     # All of them are far below Spark's limit for broadcasts here, as their files are at a million rows.
     spark.conf.set("spark.sql.maxMetadataStringLength", "500")
