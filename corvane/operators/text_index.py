@@ -127,10 +127,13 @@ def bm25(posts: DataFrame, phrases: DataFrame, candidates: DataFrame | None = No
     counted = n_texts.toDF("_docs") if n_texts is not None else sizes.agg(F.count("*").alias("_docs"))
     # Both are one row.
     total = sizes.agg(F.sum("len").alias("_sum")).crossJoin(F.broadcast(counted)).select("_docs", (F.col("_sum") / F.col("_docs")).alias("_avg"))
+    # Read several times below; written once, the queries' source isn't read and planned again in each place,
+    # and their words are known to be few, so the index isn't shuffled to meet them.
+    phrases = durable(phrases, "phrases")
     # Read three times below; written once, the postings are scanned once for all phrases.
     hits = durable(phrase_hits(posts, phrases), "hits")
     spread = hits.groupBy("phrase").agg(F.count("*").alias("_df"))
-    asked = phrases.select("query_id", "grp", "phrase").distinct().join(spread, "phrase", "left").fillna(0, ["_df"])
+    asked = durable(phrases.select("query_id", "grp", "phrase").distinct().join(spread, "phrase", "left").fillna(0, ["_df"]), "asked")
     groups = asked.groupBy("query_id", "grp").agg(F.sum("_df").alias("_cost"))
     first = W.partitionBy("query_id").orderBy("_cost", "grp")
     groups = groups.select("query_id", "grp", F.row_number().over(first).alias("_no"), F.count("*").over(W.partitionBy("query_id")).alias("_groups"))

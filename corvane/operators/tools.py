@@ -132,7 +132,8 @@ def keyword_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, filters: Filters, k: int | None = TOP, fetch: int = FETCH, half_life_days: float | None = None, now: str | None = None, expander: QueryExpander | None = None) -> DataFrame:
     """Both searches fused, ``fetch`` hits of each."""
-    asked = queries.filter(~is_blank(F.col("query")))
+    # Both searches read the queries; written once, their source isn't read and planned again in each place.
+    asked = durable(queries.filter(~is_blank(F.col("query"))), "queries")
     near = vector_search(corpus, asked, filters, fetch)
     words = keyword_search(corpus, asked, filters, fetch, expander=expander)
     return fusion.fuse(near, words, corpus.keys(), k, half_life_days, now)
@@ -154,7 +155,8 @@ def _context(key: str) -> Column:
 
 
 def _found(corpus: Corpus, queries: DataFrame, filters: Filters, k: int | None, **options) -> DataFrame:
-    hits = hybrid_search(corpus, queries, filters, k, **options)
+    # Written, hits are known to be few before texts are joined, and the driver plans search and texts apart.
+    hits = durable(hybrid_search(corpus, queries, filters, k, **options), "fused")
     return fusion.hit_rows(hits, corpus.chunks, corpus.artifacts, corpus.targets)
 
 

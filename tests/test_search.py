@@ -152,3 +152,20 @@ def test_searches_broadcast_no_table_of_the_corpus(spark, data, name):
         assert _sent(found._jdf.queryExecution().executedPlan().toString()) == []
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("name, kind", [("rt12_find_code", "file")])
+def test_tools_read_the_query_set_once(spark, data, name, kind):
+    # Else its source is read and planned at each place of the search, and the index is shuffled to meet its words.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "500")
+    try:
+        found = queries.queries()[name](spark, data)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        assert plan.count("/chunk.parquet") == 1 and "/embeddings.parquet" not in plan
+        hits = tools.hybrid_search(queries._corpus(spark, data), queries._asked(spark, data), Filters(kind=kind))
+        hits.collect()
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "/embeddings.parquet" not in plan and _sent(plan) == []
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
