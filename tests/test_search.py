@@ -154,7 +154,7 @@ def test_searches_broadcast_no_table_of_the_corpus(spark, data, name):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
-@pytest.mark.parametrize("name, kind", [("rt12_find_code", "file"), ("rt11_find_style_examples", "code")])
+@pytest.mark.parametrize("name, kind", [("rt12_find_code", "file"), ("rt11_find_style_examples", "code"), ("rt13_find_applicable_rules", "code_rule")])
 def test_tools_read_the_query_set_once(spark, data, name, kind):
     # Else its source is read and planned at each place of the search, and the index is shuffled to meet its words.
     spark.conf.set("spark.sql.maxMetadataStringLength", "500")
